@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table_parts
 from .dac import store_tokens
+from .html_text import extract_text
+from .ogg import media_features, store_texts
 from .packing import pack_documents
 from .token_counts import token_counts
+from .warc import archive_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +23,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table_parts(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table_parts(spark, sf_dir, "pages"))
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_texts(table_parts(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table_parts(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
@@ -28,10 +39,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(table_parts(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table_parts(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_warc": op3_warc,
+    "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {}
