@@ -12,6 +12,7 @@ from .dac import store_tokens
 from .html_text import extract_text
 from .ogg import media_features, store_texts
 from .packing import pack_documents
+from .parity_join import near_duplicates
 from .token_counts import token_counts
 from .warc import archive_round_trip
 
@@ -39,6 +40,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(table_parts(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table_parts(spark, sf_dir, "documents"), percent=75)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table_parts(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
+    "op9_parity_join": op9_parity_join,
     "op10_html_text": op10_html_text,
 }
 
