@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table_parts
 from .dac import store_tokens
+from .decontaminate import contamination
 from .html_text import extract_text
+from .kneser_ney import train
 from .ogg import media_features, store_texts
 from .packing import pack_documents
 from .parity_join import near_duplicates
@@ -24,10 +26,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table_parts(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_parts(spark, sf_dir, "documents")
+    return train(docs, table_parts(spark, sf_dir, "labels")).verdicts(docs)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table_parts(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table_parts(spark, sf_dir, "documents"), table_parts(spark, sf_dir, "benchmark"))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_texts(table_parts(spark, sf_dir, "documents")))
 
@@ -50,7 +61,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_warc": op3_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
