@@ -14,20 +14,24 @@ band, in that one's. A set with too few blocks that hold a token (so that the
 rule could rest on an empty block) gives its empty ones too.
 
 Candidates. Blocks go packed, 6 bytes each, to the task of their hash; equal
-ones of different sets make a bucket. In a bucket of more than `frequent` sets
-(a common passage), a set is left out if it has more unaffected blocks than it
-lies in such buckets: then it meets each of its partners in another bucket too.
+ones of different sets make a bucket. In a bucket of more than FREQUENT sets
+(a common passage, a large group of near copies), a set is left out if it has
+more unaffected blocks than it lies in such buckets: then it meets each of its
+partners in another bucket too. Sets that lack this slack are split to the end,
+one token a block: of two linked sets the rarest tokens (counted among these
+sets) of each, as many as they may differ in and one, share a token. So members
+of a large group whose own changes already fill that number meet nobody.
 Pairs whose bits differ in more places than the sets may are dropped, and what
 is left is verified on the whole sets.
 
-Components. First each bucket's sets are tested against its first one (all
-pairs in small ones); then, exactly, all pairs of a bucket whose sets are not
-yet joined. So a large group of near copies costs a few tests a member, and no
-link between two groups is lost. Equal sets are one class from the start.
+Components. First each bucket's sets are tested against one of them (all pairs
+in small ones; STARS buckets a set where it lacks slack); then, exactly, all
+pairs of a bucket whose sets are not yet joined. So a large group of near copies
+costs a few tests a member, and no link between two groups is lost. Equal sets
+are one class from the start.
 
 Scale: token sets never leave their task but for classes in candidate pairs;
-nothing of the corpus goes to the driver. A bucket of many unrelated sets that
-also lack slack would be the costly case; see README.
+nothing of the corpus goes to the driver.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, materialise, ragged, shuffle_parts
@@ -49,9 +53,13 @@ from .shingles import SLICE_BYTES, mix, shingle_sets
 FREQUENT = 32
 #: Sets in a bucket up to which the first pass tests all pairs.
 SMALL = 4
+#: Buckets in which the first pass tests a set that lacks slack.
+STARS = 12
+#: Ratio of the size classes of sets that lack slack.
+CLASS = 1.05
 #: Longest bit sketch, in bits.
 MOST_BITS = 8192
-PART_ROWS = "kind int, part int, id long, n long, gid long, class binary, bits binary, slack0 int, slack1 int, blocks binary, members array<long>"
+PART_ROWS = "kind int, part int, id long, text_key long, n long, gid long, class binary, bits binary, slack0 int, slack1 int, blocks binary, members array<long>"
 
 
 class Bands:
@@ -136,7 +144,7 @@ def block_sketches(h: np.ndarray, n: np.ndarray, scheme: np.ndarray, bands: Band
     return mix(xor + mix(place.astype(np.uint64) + np.uint64(1))), who, slack
 
 
-_COLUMNS = [("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("gid", pa.int64()), ("class", pa.binary()), ("bits", pa.binary()), ("slack0", pa.int32()), ("slack1", pa.int32()), ("blocks", pa.binary()), ("members", pa.list_(pa.int64()))]
+_COLUMNS = [("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("gid", pa.int64()), ("class", pa.binary()), ("bits", pa.binary()), ("slack0", pa.int32()), ("slack1", pa.int32()), ("blocks", pa.binary()), ("members", pa.list_(pa.int64()))]
 
 
 def _batch(rows: int, **columns) -> pa.RecordBatch:
@@ -178,7 +186,7 @@ def _sketch(bands: Bands, parts: int):
                 for k, at in enumerate(own.tolist()):
                     sketches[at] = bit_sketch(h[ends[at] - n[at] : ends[at]], int(n[at]))
                     slacks[0][at], slacks[1][at] = int(slack0[k]), int(slack1[k])
-                yield _batch(len(n), kind=np.zeros(len(n), np.int32), part=np.arange(len(n)) % parts, id=some.column("id"), n=n, gid=pa.array(gid, mask=gid < 0), **{"class": classes}, bits=sketches, slack0=slacks[0], slack1=slacks[1])
+                yield _batch(len(n), kind=np.zeros(len(n), np.int32), part=np.arange(len(n)) % parts, id=some.column("id"), text_key=some.column("text_key"), n=n, gid=pa.array(gid, mask=gid < 0), **{"class": classes}, bits=sketches, slack0=slacks[0], slack1=slacks[1])
                 if there:
                     yield _batch(len(there), kind=np.ones(len(there), np.int32), part=there, gid=np.full(len(there), number), blocks=[packed[cuts[p] : cuts[p + 1]].tobytes() for p in there])
                 number += len(own)
@@ -262,8 +270,42 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands
     return materialise(full.select("u", "v", "x", "y").mapInArrow(test, "u long, v long"), "links")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) of each row.
+def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """(index, probe) rows (b, v, n) of the sets in poor: linked ones, the smaller in index and the larger in probe, share a b.
+
+    Tokens are ordered by how many of these sets hold them, rarest first. Linked
+    sets of sizes a <= b share at least percent / (100 + percent) * (a + b)
+    tokens, so the first n - that + 1 of each share one: for the index with b = a,
+    for the probe by size class of a. Tokens of one set only keep their places in
+    the order but need no row.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, h in zip(batch.column("gid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                tokens = np.frombuffer(h, np.int64)
+                for at in range(0, len(tokens), 100_000):
+                    part = tokens[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), gid)), pa.array(np.full(len(part), len(tokens)))], ["token", "v", "n"])
+
+    t = bands.percent
+    tokens = materialise(_sets(docs, poor).join(poor.select("class", "gid"), "class").select("gid", "hashes").mapInArrow(spread, "token long, v long, n long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("v")
+    ranked = tokens.join(counts, "token").withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS))).cast("int")
+    share = lambda total: F.ceil(total * t / (100 + t) - 1e-9)
+    least = F.ceil(F.col("n") * t / 100 - 1e-9)
+    ranked = materialise(ranked.filter(F.col("rank") <= F.col("n") - least + 1).select("token", "v", "n", "rank"), "ranked")
+    index = ranked.filter(F.col("rank") <= F.col("n") - share(2 * F.col("n")) + 1).withColumn("size", size_class(F.col("n")))
+    probe = ranked.withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+    low = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("size"))) - 1)
+    probe = probe.filter(F.col("rank") <= F.col("n") - share(F.col("n") + low) + 1)
+    return tuple(materialise(x.select(F.xxhash64("token", "size").alias("b"), "v", "n"), "prefixes") for x in (index, probe))
+
+
+def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", text_keys: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id) of each row; with text_keys also xxhash64 of the text.
 
     Rows link if 100 * shared shingles >= percent * shingles in either (percent
     over 50); component_id is the least id that links lead to, itself included.
@@ -275,9 +317,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     spark = df.sparkSession
     bands, parts = Bands(percent), max(64, 4 * shuffle_parts(spark))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = docs.mapInArrow(_sketch(bands, parts), PART_ROWS)
+    sketched = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sketch(bands, parts), PART_ROWS)
     found = materialise(sketched.groupBy("part").applyInArrow(_buckets, PART_ROWS), "buckets")
-    rows = found.filter("kind = 0").select("id", "n", "gid", "class", "bits", "slack0", "slack1")
+    rows = found.filter("kind = 0").select("id", "text_key", "n", "gid", "class", "bits", "slack0", "slack1")
 
     # a vertex for each class: the least gid that any slice gave it
     heads = rows.filter("gid is not null").groupBy("class").agg(F.min("gid").alias("gid"))
@@ -287,25 +329,40 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
 
     small = found.filter("kind = 2").select(F.col("gid").alias("b"), "members").dropDuplicates(["b"]).select("b", F.explode("members").alias("m"))
     small = small.join(to, "m").select("b", "v")
+    buckets = materialise(small.distinct(), "members")
     frequent = found.filter("kind = 3").select(F.col("gid").alias("b"), F.col("id").alias("m"), F.col("n").alias("role")).join(to, "m").select("b", "v", "role").distinct()
     hot = frequent.groupBy("v", "role").agg(F.count("*").alias("hot"))
-    poor = hot.join(vertex.select(F.col("gid").alias("v"), "slack0", "slack1"), "v").filter(F.col("hot") > F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))).select("v", "role")
-    frequent = frequent.join(poor, ["v", "role"], "left_semi").select("b", "v")
-    buckets = materialise(small.union(frequent).distinct(), "members")
+    lacks = F.col("hot") > F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))
+    poor = materialise(hot.join(vertex.withColumnRenamed("gid", "v"), "v").filter(lacks).select(F.col("v").alias("gid"), "class", "id").distinct(), "poor")
+    index, probe = _rarest(docs, poor, bands)
 
     firsts = buckets.groupBy("b").agg(F.min("v").alias("u"), F.count("*").alias("k")).filter("k > 1")
     stars = buckets.join(firsts, "b").filter("u < v").select("u", "v")
     few = buckets.join(firsts.filter(f"k > 2 and k <= {SMALL}").select("b"), "b", "left_semi")
     pairs = few.select("b", F.col("v").alias("u")).join(few, "b").filter("u < v").select("u", "v")
-    tested = materialise(stars.union(pairs).distinct(), "pairs")
+    centres = index.groupBy("b").agg(F.min_by("v", F.xxhash64("v", "b")).alias("u"))
+    drawn = Window.partitionBy("v").orderBy(F.xxhash64("b", "v"), "b")
+    some = probe.join(centres, "b").filter("u <> v").withColumn("draw", F.row_number().over(drawn)).filter(f"draw <= {STARS}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tested = materialise(stars.union(pairs).union(some).distinct(), "pairs")
     links = _verify(tested, vertex, docs, bands)
 
     # what is left: pairs of a bucket that are not joined yet
     label = components(links)
-    now = materialise(buckets.join(label, "v", "left").select("b", "v", F.coalesce("c", "v").alias("c")), "joined")
-    live = now.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("b")
-    left = materialise(now.join(live, "b", "left_semi"), "live")
-    rest = left.select("b", F.col("v").alias("u"), F.col("c").alias("cu")).join(left, "b").filter("u < v and cu <> c").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
+
+    def live(members: DataFrame) -> DataFrame:
+        return members.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("b")
+
+    now = materialise(labelled(buckets), "joined")
+    left = materialise(now.join(live(now), "b", "left_semi"), "live")
+    rest = left.select("b", F.col("v").alias("u"), F.col("c").alias("cu")).join(left, "b").filter("u < v and cu <> c").select("u", "v")
+    now, asked = materialise(labelled(index), "joined"), materialise(labelled(probe), "joined")
+    alive = materialise(live(now.union(asked)), "live")
+    own = now.join(alive, "b", "left_semi").select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
+    crossed = own.join(asked.join(alive, "b", "left_semi"), "b").filter("cu <> c and struct(nu, u) < struct(n, v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = rest.union(crossed).distinct().join(tested, ["u", "v"], "left_anti")
     more = _verify(materialise(rest, "rest"), vertex, docs, bands)
     label = components(links.union(more))
 
@@ -315,5 +372,26 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     groups = joined.groupBy("c").agg(F.min("least").alias("component"))
     linked_classes = joined.join(groups, "c").select("class", "component")
     answer = by_class.join(linked_classes, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
-    known = rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(answer, "class", "left")
-    return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    known = rows.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(answer, "class", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(["text_key"] if text_keys else []))
+
+
+def keep_one(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay, with all columns: of each component the row with its least id, of rows that repeat id and text one.
+
+    Rows without words all stay. A row with a null id stays only if its component
+    holds no row with an id. Text isn't shuffled where the rows to drop are few.
+    """
+    found = materialise(near_duplicates(df, percent, id_col, text_col, text_keys=True), "components")
+    same = F.col(id_col).eqNullSafe(F.col("component_id"))
+    key = [F.col(id_col).alias("__id"), F.col("text_key").alias("__key")]
+    on = lambda rows: df[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(df[text_col].cast("string")) == rows["__key"])
+    drop = found.filter((F.col("n_shingles") > 0) & ~same).select(*key).distinct()
+    twice = found.filter((F.col("n_shingles") > 0) & same & F.col(id_col).isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = materialise(twice, "repeated")
+    kept = df.join(drop, on(drop), "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = lambda rows: kept[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(kept[text_col].cast("string")) == rows["__key"])
+    return kept.join(twice, again(twice), "left_anti").unionAll(kept.join(twice, again(twice), "left_semi").dropDuplicates([id_col, text_col]))

@@ -15,6 +15,8 @@ from .kneser_ney import train
 from .ogg import media_features, store_texts
 from .packing import pack_documents
 from .parity_join import near_duplicates
+from .preference import ORACLE as PREFERENCE_SQL
+from .preference import format_preferences, pairs_from_conversations
 from .token_counts import token_counts
 from .warc import archive_round_trip
 
@@ -35,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table_parts(spark, sf_dir, "pages"))
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(*pairs_from_conversations(table_parts(spark, sf_dir, "conversations")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table_parts(spark, sf_dir, "documents"), table_parts(spark, sf_dir, "benchmark"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_warc": op3_warc,
+    "op4_preference_format": op4_preference_format,
     "op5_decontamination": op5_decontamination,
     "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
@@ -71,4 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as size from pages),
+kept as (select digest, max(page_id) as keep from p where size >= 1000 group by digest),
+placed as (select p.*, case when size >= 1000 and p.page_id < keep then keep end as refers_to from p left join kept using (digest))
+select page_id, size as payload_bytes, digest as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_preference_format": PREFERENCE_SQL,
+}
