@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from topicwright.llm.common import materialise, table_parts
-from topicwright.llm.decontaminate import contamination
+from topicwright.llm.decontaminate import clean_rows
 from topicwright.llm.kneser_ney import train
 from topicwright.llm.packing import pack_documents
 from topicwright.llm.parity_join import keep_one
@@ -30,8 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = contamination(docs, table_parts(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.filter("not contaminated").drop("contaminated")
+    return clean_rows(docs, table_parts(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,20 +229,9 @@ def write_index(benchmark: DataFrame, rate: float, shortest: int, item_col: str
     return folder, sorted(r["name"] for r in blocks.mapInArrow(write, "name string").collect())
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 32, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id_col, contaminated, items, n_windows, fewest_edits) of each row; with keep, rows of these columns of df and `contaminated`.
-
-    items: ids of the benchmark items found, ascending; n_windows: distinct
-    windows found; fewest_edits: least edits of these, null if none. Null and empty
-    texts hold nothing; repeated rows are tested each; items with a null id or
-    text, or of fewer than `shortest` characters (too short to tell a quotation
-    from chance), are left out; an empty benchmark finds nothing.
-    """
+def _scan(rows: DataFrame, benchmark: DataFrame, rate: float, shortest: int, column: str, schema, give) -> DataFrame:
+    """Rows that give(batch, items, windows, fewest) makes of each slice of rows with what was found in its texts."""
     folder, names = write_index(benchmark, rate, shortest)
-    inner = df.select(*[F.col(c) for c in keep]) if keep else df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    column = text_col if keep else "text"
-    result = f"{inner.schema.simpleString()[7:-1].replace(':', ' ')}" if keep else "id long"
-    extra = "contaminated boolean" if keep else "contaminated boolean, items array<long>, n_windows long, fewest_edits long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,11 +247,33 @@ def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, short
                         items[t].add(i)
                         windows[t].add((name, w))
                         fewest[t] = e if fewest[t] is None else min(e, fewest[t])
-                flag = pa.array([bool(x) for x in items], pa.bool_())
-                if keep:
-                    yield pa.RecordBatch.from_arrays([*some.columns, flag], [*some.schema.names, "contaminated"])
-                else:
-                    yield pa.RecordBatch.from_arrays([some.column("id"), flag, pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(list(map(len, windows)), pa.int64()), pa.array(fewest, pa.int64())], ["id", "contaminated", "items", "n_windows", "fewest_edits"])
-
-    found = inner.mapInArrow(scan, f"{result}, {extra}")
-    return found if keep else found.withColumnRenamed("id", id_col)
+                yield give(some, items, windows, fewest)
+
+    return rows.mapInArrow(scan, schema)
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, contaminated, items, n_windows, fewest_edits) of each row.
+
+    items: ids of the benchmark items found, ascending; n_windows: distinct
+    windows found; fewest_edits: least edits of these, null if none. Null and empty
+    texts hold nothing; repeated rows are tested each; items with a null id or
+    text, or of fewer than `shortest` characters (too short to tell a quotation
+    from chance), are left out; an empty benchmark finds nothing.
+    """
+
+    def give(some, items, windows, fewest) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([some.column("id"), pa.array([bool(x) for x in items], pa.bool_()), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(list(map(len, windows)), pa.int64()), pa.array(fewest, pa.int64())], ["id", "contaminated", "items", "n_windows", "fewest_edits"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = "id long, contaminated boolean, items array<long>, n_windows long, fewest_edits long"
+    return _scan(rows, benchmark, rate, shortest, "text", schema, give).withColumnRenamed("id", id_col)
+
+
+def clean_rows(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 32, text_col: str = "text") -> DataFrame:
+    """The rows of df in which nothing of the benchmark is found, with all columns; cases as in contamination()."""
+
+    def give(some, items, windows, fewest) -> pa.RecordBatch:
+        return some.filter(pa.array([not x for x in items], pa.bool_()))
+
+    return _scan(df, benchmark, rate, shortest, text_col, df.schema, give)

@@ -106,12 +106,6 @@ def bits_differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two ascending arrays of distinct hashes link, on the whole sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(len(a)) and 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _class(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
@@ -238,9 +232,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, n = shingle_sets(some.column("text"))
                 ends = np.cumsum(n)
                 sets = [h[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), h.view(np.int64))], ["class", "hashes"])
 
-    return rows.mapInArrow(run, "class binary, hashes binary").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class binary, hashes array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
@@ -261,13 +255,9 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands
     sets = materialise(_sets(docs, wanted).join(wanted.select("class", "gid"), "class").select("gid", "hashes"), "sets")
     full = close.join(sets.select(F.col("gid").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("gid").alias("v"), F.col("hashes").alias("y")), "v")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [k for k in range(batch.num_rows) if linked(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64), bands.percent)]
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-    return materialise(full.select("u", "v", "x", "y").mapInArrow(test, "u long, v long"), "links")
+    both = F.size(F.array_intersect("x", "y"))
+    meet = F.lit(100) * both >= share * (F.size("x") + F.size("y") - both)
+    return materialise(full.filter(meet).select("u", "v"), "links")
 
 
 def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
@@ -280,16 +270,8 @@ def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame,
     the order but need no row.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, h in zip(batch.column("gid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                tokens = np.frombuffer(h, np.int64)
-                for at in range(0, len(tokens), 100_000):
-                    part = tokens[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), gid)), pa.array(np.full(len(part), len(tokens)))], ["token", "v", "n"])
-
     t = bands.percent
-    tokens = materialise(_sets(docs, poor).join(poor.select("class", "gid"), "class").select("gid", "hashes").mapInArrow(spread, "token long, v long, n long"), "tokens")
+    tokens = materialise(_sets(docs, poor).join(poor.select("class", "gid"), "class").select(F.explode("hashes").alias("token"), F.col("gid").alias("v"), F.size("hashes").cast("long").alias("n")), "tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("v")
     ranked = tokens.join(counts, "token").withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
