@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicwright.llm.common import materialise, table_parts
+from topicwright.llm.common import bounded_batches, materialise, table_parts
 from topicwright.llm.decontaminate import clean_rows
 from topicwright.llm.kneser_ney import train
 from topicwright.llm.packing import pack_documents
@@ -19,12 +19,13 @@ from topicwright.llm.queries import WORD_BPE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is not over their language's threshold."""
+    """Documents whose perplexity isn't over their language's threshold."""
     return train(docs, table_parts(spark, sf_dir, "labels")).accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies: the one with the least doc_id."""
+    bounded_batches(spark)
     return keep_one(docs, percent=75)
 
 
@@ -35,6 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
+    bounded_batches(spark)
     return pack_documents(docs, WORD_BPE, capacity=4096, end_id=1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -97,6 +98,21 @@ class SharedFiles:
             return f.read() if length is None else f.read(length)
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bounds the bytes of the Arrow batches that tasks exchange with Python, unless the session sets its own: long texts would fill a batch of 10,000 rows."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and its peaks would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows of about `target` bytes in `column`; a longer row is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -107,6 +123,7 @@ def by_bytes(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.Rec
         end = max(at + 1, min(end, n))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,6 +134,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def table_parts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -37,7 +37,7 @@ from .packing import with_end
 from .tokens import Encoder
 
 #: Bytes of text whose ids make a file (a longer text is a file of its own).
-FILE_TEXT = 8 << 20
+FILE_TEXT = 4 << 20
 BLOCK = 512
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import SharedFiles, by_bytes, materialise, new_folder
 
 ORDER = 4
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 START = 2
 _MASK = {k: (1 << 16 * k) - 1 for k in range(1, ORDER)}
 

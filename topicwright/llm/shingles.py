@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)

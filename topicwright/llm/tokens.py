@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from .common import ragged
 
 #: Segments kept with their ids by a worker before it starts anew.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Text bytes that one call handles at most (one longer text is a call of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _cuts_at_space(spec: dict) -> bool:
