@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from topicwright.functions.sequences import lcs, lcs_length, lcs_size, longest_common, similarity
+from topicwright.functions.sequences import lcs, lcs_length, lcs_size, longest_common, similarity, string_similarity
 from topicwright.functions.text import canonical, label_order
 from topicwright.operators import diagnostics, extract, graph, parse, planning, resolve, topics
 from topicwright.operators.planning import knapsack_of
@@ -50,9 +50,10 @@ PAIRS = [("ABCBDAB", "BDCABA", 4), ("abc", "ac", 2), ("", "", 0), ("", "x", 0),
 
 def test_lcs(spark):
     rows = spark.createDataFrame([(list(a), list(b), a, b) for a, b, _ in PAIRS], "a array<string>, b array<string>, x string, y string")
-    got = rows.select(lcs_length(F.col("a"), F.col("b")).alias("n"), lcs_size("a", "b").alias("m"), lcs("a", "b").alias("l"), similarity(F.col("x"), F.col("y")).alias("s")).collect()
+    got = rows.select(lcs_length(F.col("a"), F.col("b")).alias("n"), lcs_size("a", "b").alias("m"), lcs("a", "b").alias("l"), similarity(F.col("x"), F.col("y")).alias("s"), string_similarity("x", "y").alias("z")).collect()
     assert [r.n for r in got] == [r.m for r in got] == [r.l.length for r in got] == [n for _, _, n in PAIRS]
     assert got[1].l.sequence == ["a", "c"]
+    assert [r.s for r in got] == [r.z for r in got]
     assert got[2].s == 1.0 and abs(got[4].s - 8 / 9) < 1e-12
     assert longest_common(list("abcbdab"), list("bdcaba"))[0] == 4
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
-from ..functions.sequences import similarity
+from ..functions.sequences import string_similarity
 from ..functions.text import canonical
 
 
@@ -72,7 +72,7 @@ def similar_pairs(forms: DataFrame, threshold: float) -> DataFrame:
     short = forms.mapInPandas(index, "size int, at int, piece string, a string")
     long = forms.mapInPandas(probe, "size int, at int, piece string, b string")
     pairs = short.join(long, ["size", "at", "piece"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    return pairs.withColumn("score", string_similarity("a", "b")).filter(F.col("score") >= threshold)
 
 
 @dataclass(frozen=True)
