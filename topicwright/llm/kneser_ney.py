@@ -18,11 +18,11 @@ grows with the corpus; only discounts and thresholds, a row a language of the
 bounded sample, reach the driver.
 
 A document is rejected if its perplexity is over `margin` times the quantile of
-the trusted documents' in its language.
+the held-out trusted documents' in its language.
 
 Defined results: null and empty texts have null perplexity and stay; so do texts
 of a language (or null language) without trusted text, for which there is no
-model; repeated rows are scored each; without labels nothing is rejected.
+model, or without held-out text, for which there is no threshold; repeated rows are scored each; without labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -39,10 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SharedFiles, by_bytes, materialise, new_folder
+from .shingles import mix
 
 ORDER = 4
 SLICE_BYTES = 2 << 20
 START = 2
+#: One of so many trusted rows sets thresholds.
+HELD_OUT = 5
 _MASK = {k: (1 << 16 * k) - 1 for k in range(1, ORDER)}
 
 
@@ -124,7 +127,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     n = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.expr("n1 / (n1 + 2 * n2)")
     table = counts.groupBy("lang").agg(*n).withColumn("y", F.when(F.col("n1") > 0, y))
-    d = [F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)]
+    d = [F.coalesce(F.when(F.col("y").isNotNull() & (F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)]
     return table.select("lang", *d)
 
 
@@ -226,13 +229,15 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float, margin: float, most: int, id_col: str, text_col: str, lang_col: str):
         self.id_col, self.text_col, self.lang_col = id_col, text_col, lang_col
-        trusted = trusted_ids(labels, most)
+        ids = trusted_ids(labels, most)
+        out = mix(ids.view(np.uint64)) % np.uint64(HELD_OUT) == 0
+        trusted, held = ids[~out], ids[out]
         slim = docs.select(_split().alias("split"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
         grams = materialise(split_grams(slim, trusted), "split-grams")
         self.folder = write_scores(grams, gram_scores(grams))
 
         def those(some: pa.RecordBatch, found: list[float | None]) -> pa.RecordBatch:
-            good = pa.array(_is_in(some.column("id"), trusted))
+            good = pa.array(_is_in(some.column("id"), held))
             return pa.RecordBatch.from_arrays([some.column("lang").filter(good), pa.array(found, pa.float64()).filter(good)], ["lang", "perplexity"])
 
         mine = _scored(slim.withColumnRenamed("split", "__split"), self.folder, "lang string, perplexity double", those)

@@ -57,6 +57,10 @@ SMALL = 4
 STARS = 12
 #: Ratio of the size classes of sets that lack slack.
 CLASS = 1.05
+#: Bits that a join of sets that lack slack compares before it makes a pair.
+JOIN_BITS = 1024
+#: Rows of ids and hashes up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
 #: Longest bit sketch, in bits.
 MOST_BITS = 8192
 PART_ROWS = "kind int, part int, id long, text_key long, n long, gid long, class binary, bits binary, slack0 int, slack1 int, blocks binary, members array<long>"
@@ -99,6 +103,12 @@ def bit_sketch(h: np.ndarray, n: int) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def fixed_sketch(h: np.ndarray) -> list[int]:
+    """The same on JOIN_BITS places whatever the size, as longs."""
+    odd = np.bincount((h & np.uint64(JOIN_BITS - 1)).astype(np.int64), minlength=JOIN_BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 def bits_differ(a: bytes, b: bytes) -> int:
     x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
     while len(y) > len(x):
@@ -222,7 +232,7 @@ def _buckets(part: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, hashes) of the classes in wanted (class, id): their texts are read and cut again."""
+    """(class, hashes, bits) of the classes in wanted (class, id): their texts are read and cut again; bits: fixed_sketch."""
     ids = wanted.select(F.col("id").alias("wanted")).distinct()
     rows = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
@@ -232,9 +242,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, n = shingle_sets(some.column("text"))
                 ends = np.cumsum(n)
                 sets = [h[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), h.view(np.int64))], ["class", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), h.view(np.int64)), pa.array([fixed_sketch(x) for x in sets], pa.list_(pa.int64()))], ["class", "hashes", "bits"])
 
-    return rows.mapInArrow(run, "class binary, hashes array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class binary, hashes array<long>, bits array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
@@ -260,8 +270,8 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands
     return materialise(full.filter(meet).select("u", "v"), "links")
 
 
-def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """(index, probe) rows (b, v, n) of the sets in poor: linked ones, the smaller in index and the larger in probe, share a b.
+def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, probe, sketches): rows (b, v, n) of the sets in poor, of which linked ones, the smaller in index and the larger in probe, share a b; and (v, bits).
 
     Tokens are ordered by how many of these sets hold them, rarest first. Linked
     sets of sizes a <= b share at least percent / (100 + percent) * (a + b)
@@ -271,7 +281,8 @@ def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame,
     """
 
     t = bands.percent
-    tokens = materialise(_sets(docs, poor).join(poor.select("class", "gid"), "class").select(F.explode("hashes").alias("token"), F.col("gid").alias("v"), F.size("hashes").cast("long").alias("n")), "tokens")
+    sets = materialise(_sets(docs, poor).join(poor.select("class", "gid"), "class").select("gid", "hashes", "bits"), "poor-sets")
+    tokens = materialise(sets.select(F.explode("hashes").alias("token"), F.col("gid").alias("v"), F.size("hashes").cast("long").alias("n")), "tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("v")
     ranked = tokens.join(counts, "token").withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
@@ -283,7 +294,8 @@ def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame,
     probe = ranked.withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
     low = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("size"))) - 1)
     probe = probe.filter(F.col("rank") <= F.col("n") - share(F.col("n") + low) + 1)
-    return tuple(materialise(x.select(F.xxhash64("token", "size").alias("b"), "v", "n"), "prefixes") for x in (index, probe))
+    prefixes = [materialise(x.select(F.xxhash64("token", "size").alias("b"), "v", "n"), "prefixes") for x in (index, probe)]
+    return *prefixes, sets.select(F.col("gid").alias("v"), "bits")
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", text_keys: bool = False) -> DataFrame:
@@ -316,7 +328,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     hot = frequent.groupBy("v", "role").agg(F.count("*").alias("hot"))
     lacks = F.col("hot") > F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))
     poor = materialise(hot.join(vertex.withColumnRenamed("gid", "v"), "v").filter(lacks).select(F.col("v").alias("gid"), "class", "id").distinct(), "poor")
-    index, probe = _rarest(docs, poor, bands)
+    index, probe, fold = _rarest(docs, poor, bands)
 
     firsts = buckets.groupBy("b").agg(F.min("v").alias("u"), F.count("*").alias("k")).filter("k > 1")
     stars = buckets.join(firsts, "b").filter("u < v").select("u", "v")
@@ -343,7 +355,11 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     now, asked = materialise(labelled(index), "joined"), materialise(labelled(probe), "joined")
     alive = materialise(live(now.union(asked)), "live")
     own = now.join(alive, "b", "left_semi").select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
-    crossed = own.join(asked.join(alive, "b", "left_semi"), "b").filter("cu <> c and struct(nu, u) < struct(n, v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    own = own.join(fold.select(F.col("v").alias("u"), F.col("bits").alias("x")), "u")
+    other = asked.join(alive, "b", "left_semi").join(fold, "v")
+    apart = F.aggregate(F.zip_with("x", "bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    may = F.lit(100 - percent) * (F.col("nu") + F.col("n")) >= F.lit(100 + percent) * apart
+    crossed = own.join(other, "b").filter("cu <> c and struct(nu, u) < struct(n, v)").filter(may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.union(crossed).distinct().join(tested, ["u", "v"], "left_anti")
     more = _verify(materialise(rest, "rest"), vertex, docs, bands)
     label = components(links.union(more))
@@ -363,13 +379,16 @@ def keep_one(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col:
     """The rows of df that stay, with all columns: of each component the row with its least id, of rows that repeat id and text one.
 
     Rows without words all stay. A row with a null id stays only if its component
-    holds no row with an id. Text isn't shuffled where the rows to drop are few.
+    holds no row with an id. Ids of rows to drop are broadcast if they are counted
+    to be at most BROADCAST_ROWS (16 bytes each); beyond it the rows are joined.
     """
     found = materialise(near_duplicates(df, percent, id_col, text_col, text_keys=True), "components")
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
     key = [F.col(id_col).alias("__id"), F.col("text_key").alias("__key")]
     on = lambda rows: df[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(df[text_col].cast("string")) == rows["__key"])
-    drop = found.filter((F.col("n_shingles") > 0) & ~same).select(*key).distinct()
+    drop = materialise(found.filter((F.col("n_shingles") > 0) & ~same).select(*key).distinct(), "drop")
+    if drop.count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
     twice = found.filter((F.col("n_shingles") > 0) & same & F.col(id_col).isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     twice = materialise(twice, "repeated")
     kept = df.join(drop, on(drop), "left_anti")

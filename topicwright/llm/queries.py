@@ -34,7 +34,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(table_parts(spark, sf_dir, "pages"))
+    """Rows of the archives read back, in the merged index (its own columns stay in the operator, so that SQL can tell the rest)."""
+    return archive_round_trip(table_parts(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,23 @@ placed as (select p.*, case when size >= 1000 and p.page_id < keep then keep end
 select page_id, size as payload_bytes, digest as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from placed
 """
 
+JACCARD_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+lists as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as l from words),
+sizes as (select doc_id, cast(len(l) as bigint) as n from lists),
+sets as (select doc_id, unnest(l) as s from lists),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * k >= 75 * (x.n + y.n - k)),
+ways as (select u, v from links union all select v, u from links),
+reach as (select doc_id as a, doc_id as b from sizes union select reach.a, ways.v from reach join ways on reach.b = ways.u)
+select a as doc_id, n as n_shingles, min(b) as component_id from reach join sizes on doc_id = a group by a, n
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": WARC_SQL,
     "op4_preference_format": PREFERENCE_SQL,
+    "op9_parity_join": JACCARD_SQL,
 }
