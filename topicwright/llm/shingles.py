@@ -25,6 +25,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:stop] of each span, all spans a byte at a time; spans of over 64 bytes one by one."""
+    length = stop - start
+    order = np.argsort(-np.minimum(length, _LONG + 1), kind="stable")
+    at, left = start[order], length[order]
+    h = np.zeros(len(start), np.uint64)
+    falling = -left
+    for k in range(int(min(_LONG, left[0])) if len(left) else 0):
+        some = int(np.searchsorted(falling, -k, "left"))  # spans longer than k
+        h[:some] = h[:some] * _BASE + _TABLE[data[at[:some] + k]]
+    out = np.empty(len(start), np.uint64)
+    out[order] = mix(h + left.astype(np.uint64) * _BASE)
+    for w in np.flatnonzero(length > _LONG):
+        out[w] = int.from_bytes(hashlib.blake2b(data[start[w] : stop[w]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text): words [^\\x20\\x09-\\x0D]+ after A-Z are made lower case; a null text has none."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -39,20 +56,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = ~space
     start = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], space[:-1]])))
     stop = np.flatnonzero(inside & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1
-    length = stop - start
-    order = np.argsort(-np.minimum(length, _LONG + 1), kind="stable")
-    at, left = start[order], length[order]
-    h = np.zeros(len(start), np.uint64)
-    falling = -left
-    for k in range(int(min(_LONG, left[0])) if len(left) else 0):
-        some = int(np.searchsorted(falling, -k, "left"))  # words longer than k
-        h[:some] = h[:some] * _BASE + _TABLE[data[at[:some] + k]]
-    out = np.empty(len(start), np.uint64)
-    out[order] = mix(h + left.astype(np.uint64) * _BASE)
-    for w in np.flatnonzero(length > _LONG):
-        out[w] = int.from_bytes(hashlib.blake2b(data[start[w] : stop[w]].tobytes(), digest_size=8).digest(), "little")
     words = np.searchsorted(start, ends) - np.searchsorted(start, ends - sizes)
-    return out, words
+    return span_hashes(data, start, stop), words
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,11 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import ragged
+from .shingles import span_hashes
 
-#: Segments kept with their ids by a worker before it starts anew.
-MEMO = 500_000
+#: Segments kept with their ids by a worker before it starts anew; about 40 bytes each.
+MEMO = 1_000_000
 #: Text bytes that one call handles at most (one longer text is a call of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _cuts_at_space(spec: dict) -> bool:
@@ -39,6 +40,40 @@ def _own(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pa.concat_arrays([texts, pa.array([], texts.type)]).cast(pa.large_string()), "")
 
 
+class Memo:
+    """ids of segments by 64-bit hash, in sorted arrays: a dict of strings would take five times the memory."""
+
+    def __init__(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int32)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        need = self.used + int(sizes.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(need, 2 * self.used) - self.used, np.uint32)])
+        self.ids[self.used : need] = np.fromiter((i for x in lists for i in x), np.uint32, need - self.used)
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.used = need
+        keys, starts, sizes = (np.concatenate(x) for x in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.sizes = keys[order], starts[order], sizes[order]
+
+
 class Encoder:
     """ids of whole texts; one object per Python worker and tokenizer file."""
 
@@ -51,7 +86,7 @@ class Encoder:
         return cls._made[path]
 
     def __init__(self, path: str):
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -104,10 +139,10 @@ class Encoder:
             return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
         segments, per_text = self.cut(texts)
         coded = segments.dictionary_encode()
-        flat, lengths = self._segments(coded.dictionary.to_pylist())
+        starts, sizes = self._segments(coded.dictionary)
         index = coded.indices.to_numpy()
-        starts, n = (np.cumsum(lengths) - lengths)[index], lengths[index]
-        return flat[ragged(starts, n)], self._per_text(n, per_text)
+        n = sizes[index].astype(np.int64)
+        return self.memo.ids[ragged(starts[index], n)], self._per_text(n, per_text)
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text, without putting the ids together."""
@@ -118,7 +153,7 @@ class Encoder:
             return np.array([len(x) for x in self.encode(texts.to_pylist())], np.int64)
         segments, per_text = self.cut(texts)
         coded = segments.dictionary_encode()
-        return self._per_text(self._segments(coded.dictionary.to_pylist())[1][coded.indices.to_numpy()], per_text)
+        return self._per_text(self._segments(coded.dictionary)[1][coded.indices.to_numpy()], per_text)
 
     @staticmethod
     def _per_text(n: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -126,14 +161,18 @@ class Encoder:
         ends = np.cumsum(per_text)
         return before[ends] - before[ends - per_text]
 
-    def _segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [s for s in segments if s not in memo]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for s, ids in zip(some, self.encode(some), strict=True):
-                memo[s] = np.array(ids, np.uint32).tobytes()
-        found = [memo[s] for s in segments]
-        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    def _segments(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the memo's ids of each distinct segment; new ones go to the library."""
+        if len(self.memo) > MEMO:
+            self.memo = Memo()
+        _, offsets, data = segments.buffers()
+        ends = np.frombuffer(offsets, np.int64)[segments.offset : segments.offset + len(segments) + 1]
+        keys = span_hashes(np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), ends[:-1], ends[1:])
+        new = np.flatnonzero(self.memo.places(keys) < 0)
+        if len(new):
+            lists = []
+            for at in range(0, len(new), 20_000):
+                lists += self.encode(segments.take(pa.array(new[at : at + 20_000])).to_pylist())
+            self.memo.add(keys[new], lists)
+        place = self.memo.places(keys)
+        return self.memo.starts[place], self.memo.sizes[place]
