@@ -98,7 +98,7 @@ class SharedFiles:
             return f.read() if length is None else f.read(length)
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the bytes of the Arrow batches that tasks exchange with Python, unless the session sets its own: long texts would fill a batch of 10,000 rows."""
     if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SharedFiles, by_bytes, materialise, new_folder, shuffle_parts
 from .packing import with_end
-from .tokens import Encoder
+from .tokens import SLICE_BYTES, Encoder
 
 #: Bytes of text whose ids make a file (a longer text is a file of its own).
 FILE_TEXT = 4 << 20
@@ -143,7 +143,8 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         encoder, files, part, number = Encoder.of(tokenizer), SharedFiles(folder), TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in by_bytes(batch, "text", FILE_TEXT):
-                ids, n = with_end(*encoder(some.column("text")), end_id)
+                made = [with_end(*encoder(x.column("text")), end_id) for x in by_bytes(some, "text", SLICE_BYTES)]
+                ids, n = (np.concatenate(x) for x in zip(*made, strict=True))
                 doc = some.column("id")
                 name = f"tokens-{part:06d}-{number:06d}.dac"
                 files.write(name, encode_file(doc.fill_null(0).to_numpy(), np.array(doc.is_null().to_pylist(), np.uint8), ids, n))

@@ -39,7 +39,7 @@ WINDOW = 128
 STEP = 64
 LEAST = 8
 BLOCK_CHARS = 4 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _GAP = 0xFFFFFFFF
 _TABLE_BITS = 22
 

@@ -42,7 +42,7 @@ from .common import SharedFiles, by_bytes, materialise, new_folder
 from .shingles import mix
 
 ORDER = 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 START = 2
 #: One of so many trusted rows sets thresholds.
 HELD_OUT = 5

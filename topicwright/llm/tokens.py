@@ -12,6 +12,7 @@ library's own on whole texts.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -21,10 +22,10 @@ import pyarrow.compute as pc
 from .common import ragged
 from .shingles import span_hashes
 
-#: Segments kept with their ids by a worker before it starts anew; about 40 bytes each.
-MEMO = 1_000_000
+#: Segments kept with their ids by a worker before it starts anew; about 30 bytes each.
+MEMO = 800_000
 #: Text bytes that one call handles at most (one longer text is a call of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _cuts_at_space(spec: dict) -> bool:
@@ -41,37 +42,37 @@ def _own(texts: pa.Array) -> pa.Array:
 
 
 class Memo:
-    """ids of segments by 64-bit hash, in sorted arrays: a dict of strings would take five times the memory."""
+    """ids of segments by 64-bit hash, in arrays: a dict of strings would take five times the memory."""
 
     def __init__(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int32)
+        self.keys = np.empty(0, np.uint64)  # ascending
+        self.entries = np.empty(0, np.int32)
+        self.starts = np.zeros(1, np.int64)  # of entry i in ids; the next entry's is its end
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 if it isn't there."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 if it isn't there."""
         if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
+            return np.full(len(keys), -1, np.int32)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        return np.where(self.keys[at] == keys, self.entries[at], np.int32(-1))
 
     def add(self, keys: np.ndarray, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        need = self.used + int(sizes.sum())
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        used, need = int(self.starts[-1]), int(ends[-1])
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(need, 2 * self.used) - self.used, np.uint32)])
-        self.ids[self.used : need] = np.fromiter((i for x in lists for i in x), np.uint32, need - self.used)
-        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.used = need
-        keys, starts, sizes = (np.concatenate(x) for x in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.sizes = keys[order], starts[order], sizes[order]
+            self.ids = np.concatenate([self.ids[:used], np.empty(need + need // 4 - used, np.uint32)])
+        self.ids[used:need] = np.fromiter((i for x in lists for i in x), np.uint32, need - used)
+        entries = np.arange(len(self), len(self) + len(keys), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, ends])
+        order = np.argsort(keys)
+        keys, entries = keys[order], entries[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.entries = np.insert(self.keys, at, keys), np.insert(self.entries, at, entries)
 
 
 class Encoder:
@@ -96,6 +97,7 @@ class Encoder:
             prefixed = model.encode("a", out_type=str)[0].startswith("▁") and model.encode("a  b ", out_type=str) != model.encode("a b", out_type=str)
             self.cut = self._by_runs if prefixed and not any(re.search("[^▁]▁", p) for p in pieces) else None
         else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would keep memory
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
@@ -168,11 +170,12 @@ class Encoder:
         _, offsets, data = segments.buffers()
         ends = np.frombuffer(offsets, np.int64)[segments.offset : segments.offset + len(segments) + 1]
         keys = span_hashes(np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), ends[:-1], ends[1:])
-        new = np.flatnonzero(self.memo.places(keys) < 0)
+        new = np.flatnonzero(self.memo.find(keys) < 0)
         if len(new):
             lists = []
             for at in range(0, len(new), 20_000):
                 lists += self.encode(segments.take(pa.array(new[at : at + 20_000])).to_pylist())
             self.memo.add(keys[new], lists)
-        place = self.memo.places(keys)
-        return self.memo.starts[place], self.memo.sizes[place]
+        entry = self.memo.find(keys)
+        starts = self.memo.starts[entry]
+        return starts, self.memo.starts[entry + 1] - starts
