@@ -59,6 +59,15 @@ def test_frequent_grams_keep_what_they_must():
     assert {(k, k) for k in range(40)} <= found
 
 
+def test_text_that_repeats_itself(monkeypatch):
+    item = "again and again " * 12
+    index = dec.Index.of([(1, item), (2, sentence(random.Random(1), 30))], 0.08, 20)
+    texts = [dec.normal(item * 200), dec.normal("no " + item[:100]), "x"]
+    whole = [x.tolist() for x in dec.regions(index, texts)]
+    monkeypatch.setattr(dec, "HITS", 1000)
+    assert [x.tolist() for x in dec.regions(index, texts)] == whole and set(whole[0]) == {0}
+
+
 def test_rows(spark):
     r = random.Random(3)
     items = [(1, sentence(r, 20)), (2, sentence(r, 60)), (2, "second row of item two " + sentence(r, 9)), (3, None), (4, ""), (5, "tiny"), (None, sentence(r, 9))]

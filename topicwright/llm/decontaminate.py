@@ -40,6 +40,8 @@ STEP = 64
 LEAST = 8
 BLOCK_CHARS = 4 << 20
 SLICE_BYTES = 1 << 20
+#: Shared Q-grams that are counted at a time.
+HITS = 1 << 19
 _GAP = 0xFFFFFFFF
 _TABLE_BITS = 22
 
@@ -48,15 +50,15 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(characters of all texts, Q marks after each text so that no Q-gram crosses; where each starts)."""
-    gap = np.full(Q, _GAP, np.uint32)
+def _codes(texts: list[str], marks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all texts, and after each text so many marks that no Q-gram and no alignment within its budget crosses; where each starts)."""
+    gap = np.full(marks, _GAP, np.uint32)
     parts, starts, at = [], [], 0
     for t in texts:
         c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
         parts += [c, gap]
         starts.append(at)
-        at += len(c) + Q
+        at += len(c) + marks
     return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.array(starts, np.int64)
 
 
@@ -161,34 +163,44 @@ def _least_edits(windows: np.ndarray, size: np.ndarray, texts: np.ndarray, low:
     return best
 
 
+def _summed(key: np.ndarray, text: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, text) with the sums of their counts."""
+    order = np.lexsort((text, key))
+    key, text, count = key[order], text[order], count[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    return key[begin], text[begin], np.add.reduceat(count, begin)
+
+
 def regions(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, window, first place of the band in the normalised text, edits) of every verified region."""
     none = np.empty(0, np.int64)
-    codes, starts = _codes(texts)
+    if not len(index.hashes):
+        return none, none, none, none
+    # bands of twice `stride` diagonals begin every `stride`, which is more than any budget
+    stride = int(index.edits.max()) + 1
+    codes, starts = _codes(texts, max(Q, stride))
     h = _grams(codes)
     at = np.flatnonzero(index.there[_slot(h)])
-    if not len(at) or not len(index.hashes):
+    if not len(at):
         return none, none, none, none
     found = np.searchsorted(index.hashes, h[at])
     found[found == len(index.hashes)] = 0
     right = index.hashes[found] == h[at]
     at, found = at[right], found[right]
+    if not len(at):
+        return none, none, none, none
     many = index.first[found + 1] - index.first[found]
-    post = ragged(index.first[found], many)
-    window, place = index.window[post], np.repeat(at, many)
-    diagonal = place - index.place[post]
-    # bands of twice STRIDE diagonals begin every STRIDE, and STRIDE is more than any budget
-    stride = int(index.edits.max()) + 1
-    band = diagonal // stride
-    key = np.concatenate([band, band - 1]) * len(index.items) + np.concatenate([window, window])
-    text = np.concatenate([x := np.searchsorted(starts, place, "right") - 1, x])
-    order = np.lexsort((text, key))
-    key, text = key[order], text[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(new)
-    count = np.diff(np.append(begin, len(key)))
-    key, text = key[begin], text[begin]
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1).tolist(), len(many)]
+    counted = []
+    for a, b in zip(cuts, cuts[1:], strict=False):  # text that repeats itself may hit very often
+        post = ragged(index.first[found[a:b]], many[a:b])
+        window, place = index.window[post], np.repeat(at[a:b], many[a:b])
+        band = (place - index.place[post]) // stride
+        text = np.searchsorted(starts, place, "right") - 1
+        counted.append(_summed(np.concatenate([band, band - 1]) * len(index.items) + np.concatenate([window, window]), np.concatenate([text, text]), np.ones(2 * len(text), np.int64)))
+    key, text, count = _summed(*(np.concatenate(x) for x in zip(*counted, strict=True)))
     window = key % len(index.items)
     keep = count >= index.bound[window]
     window, text, low = window[keep], text[keep], (key[keep] // len(index.items)) * stride
