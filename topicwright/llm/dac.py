@@ -12,9 +12,10 @@ decoded.
 
 write_tokens() deals documents by ranges of doc_id, so files in the order of
 their part numbers hold all documents in ascending doc_id order (null first,
-ties by text); each file has about FILE_TEXT bytes of text at most. Files are
-written under a temporary name and renamed, so a task that runs twice, or on
-another executor, leaves the same file.
+ties by text); each file has about FILE_TEXT bytes of text at most. Beside
+each stands its manifest row as JSON. Files are written under a temporary name
+and renamed, so a task that runs twice, or on another executor, leaves the same
+files.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 stored each; an empty table makes no file and an empty result.
@@ -22,6 +23,7 @@ stored each; an empty table makes no file and an empty result.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, by_bytes, materialise, new_folder, shuffle_parts
+from .common import SharedFiles, by_bytes, new_folder, shuffle_parts
 from .packing import with_end
 from .tokens import SLICE_BYTES, Encoder
 
@@ -148,12 +150,17 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
                 doc = some.column("id")
                 name = f"tokens-{part:06d}-{number:06d}.dac"
                 files.write(name, encode_file(doc.fill_null(0).to_numpy(), np.array(doc.is_null().to_pylist(), np.uint8), ids, n))
-                yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "number": number, "n_docs": len(n), "n_ids": len(ids)}], pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("part", "number", "n_docs", "n_ids"))]))
+                row = {"file": name, "part": part, "number": number, "n_docs": len(n), "n_ids": len(ids)}
+                files.write(f"{name}.json", [json.dumps(row).encode()])
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
                 number += 1
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts or shuffle_parts(df.sparkSession), "id").sortWithinPartitions("id", "text")
-    made = materialise(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    spark = df.sparkSession
+    if not dealt.mapInArrow(write, "file string").count():
+        return spark.createDataFrame([], MANIFEST + ", first_id long")
+    made = spark.read.schema(MANIFEST).json(f"{folder}/*.json")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -168,7 +175,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 found = [(doc, first + start, len(ids), zlib.crc32(ids.astype("<u4"))) for doc, start, ids in TokenFile(files.read(name)).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = manifest.select("file", "first_id").repartition(shuffle_parts(manifest.sparkSession))
+    dealt = manifest.select("file", "first_id").repartition(max(1, shuffle_parts(manifest.sparkSession) // 3))
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
