@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
 from ..functions.text import canonical, label_order
 from ..operators import diagnostics, extract, graph, parse, planning, resolve, topics
 from ..sources.vocabulary import Vocabulary, read_table
@@ -18,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Slice of the graph queries: orders of the first week, topics by part, so that the graph has several components.
+#: Slice of the graph queries that have SQL: orders of the first week, topics by part. Their twins named ..._all take all orders.
 WEEK = {"topic": "p_partkey", "before": "1995-01-08"}
 
 #: A vocabulary for the text tables: frequent words of their languages.
@@ -240,6 +241,12 @@ def _week(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return m.groupBy("key").agg(F.count("*").alias("frequency")), graph.edges(m)
 
 
+def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(table, edges) of all orders, topics by part."""
+    m = data.mentions(spark, sf_dir, topic="p_partkey")
+    return cut(m.groupBy("key").agg(F.count("*").alias("frequency"))), cut(graph.edges(m))
+
+
 _REACH = ", adj as (select u, v from edges union all select v, u from edges), reach as (select key as a, key as b from (select distinct key from mentions) union select reach.a, adj.v from reach join adj on reach.b = adj.u)"
 
 
@@ -282,34 +289,60 @@ def graph_bfs_levels(spark, sf_dir):
     return graph.breadth_first(table, edge, _start(table, edge)).select("key", "level")
 
 
+@query()
+def graph_components_all(spark, sf_dir):
+    return graph.components(*_whole(spark, sf_dir))
+
+
+@query()
+def graph_clusters_all(spark, sf_dir):
+    return graph.clusters(*_whole(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
+
+
+@query()
+def graph_solo_all(spark, sf_dir):
+    return graph.solo(graph.clusters(*_whole(spark, sf_dir))).select("key")
+
+
+@query()
+def graph_spanning_forest_all(spark, sf_dir):
+    return graph.spanning_forest(*_whole(spark, sf_dir)).select("u", "v", "count", "ord")
+
+
+@query()
+def graph_bfs_levels_all(spark, sf_dir):
+    table, edge = _whole(spark, sf_dir)
+    return graph.breadth_first(table, edge, _start(table, edge)).select("key", "level")
+
+
 @query()
 def graph_bfs(spark, sf_dir):
-    table, edge = _week(spark, sf_dir)
+    table, edge = _whole(spark, sf_dir)
     return graph.breadth_first(table, edge, _start(table, edge))
 
 
 @query()
 def graph_dfs(spark, sf_dir):
-    table, edge = _week(spark, sf_dir)
+    table, edge = _whole(spark, sf_dir)
     return graph.depth_first(table, edge, _start(table, edge))
 
 
 @query()
 def graph_prim(spark, sf_dir):
-    table, edge = _week(spark, sf_dir)
+    table, edge = _whole(spark, sf_dir)
     return graph.prim(graph.clusters(table, edge), edge)
 
 
 @query()
 def graph_distances(spark, sf_dir):
-    table, edge = _week(spark, sf_dir)
+    table, edge = _whole(spark, sf_dir)
     return graph.distances(table, edge, _start(table, edge))
 
 
 @query()
 def graph_bridge(spark, sf_dir):
     """Path from the default source to the topic farthest from it."""
-    table, edge = _week(spark, sf_dir)
+    table, edge = _whole(spark, sf_dir)
     start = _start(table, edge)
     found = graph.distances(table, edge, start)
     return found.join(graph.farthest(found, start).select("key"), "key")
@@ -356,8 +389,8 @@ def plan_by_marks(spark, sf_dir):
 
 @query()
 def paper_overlap(spark, sf_dir):
-    """LCS of the topic sequences of all years, two weeks of each."""
-    m = data.mentions(spark, sf_dir, days=14)
+    """LCS of the topic sequences of all years."""
+    m = data.mentions(spark, sf_dir)
     return planning.paper_similarity(m.select("doc", "paper", "label").distinct(), m)
 
 
@@ -367,7 +400,7 @@ def paper_overlap(spark, sf_dir):
 def resolved_names(spark, sf_dir):
     """Names of parts with a letter dropped here and there, resolved to their first spellings."""
     dropped = F.when(F.col("q") % 3 == 0, F.concat(F.substring("raw", 1, 2), F.substring("raw", 4, 100))).otherwise(F.col("raw"))
-    raws = data.raw_mentions(spark, sf_dir, before="1995-03-01").withColumn("raw", dropped)
+    raws = data.raw_mentions(spark, sf_dir).withColumn("raw", dropped)
     found = resolve.resolve(raws, threshold=0.8)
     return found.forms.select("form", "ord", "key", "score")
 
@@ -403,9 +436,9 @@ def document_years(spark, sf_dir):
     return docs.select("doc_id", extract.detect_year(F.coalesce("text", F.lit("")), F.lit("")).alias("year"), extract.is_structured(F.col("text")).alias("structured"))
 
 
-def _structured(spark, sf_dir) -> DataFrame:
-    """(doc, label, text): orders of the first days of each year, written in the structured format, a text a year."""
-    m = data.mentions(spark, sf_dir, days=7)
+def _structured(spark, sf_dir, **slices) -> DataFrame:
+    """(doc, label, text): orders written in the structured format, a text a year."""
+    m = data.mentions(spark, sf_dir, **slices)
     rows = F.array_sort(F.collect_list(F.struct("pos", "raw")))
     asked = m.groupBy("paper", "q", "id", "unit", "marks").agg(F.transform(rows, lambda x: x["raw"]).alias("topics"))
     blocks = asked.select(F.col("paper").alias("doc"), F.col("q").alias("block"), "id", "unit", F.round("marks").alias("marks"), "topics")
@@ -418,7 +451,16 @@ _FIRST_DAYS = _mentions_sql("p_name", "dayofyear(o_orderdate) <= 7")
 
 @query(_FIRST_DAYS + " select label, 'Q' || q as id, unit, round(marks) as marks, count(*) as n_topics, string_agg(raw, ',' order by pos, raw) as topics from mentions group by label, q, unit, marks")
 def structured_round_trip(spark, sf_dir):
-    parsed = parse.parse(_structured(spark, sf_dir).select("doc", "text"))
+    return _round_trip(_structured(spark, sf_dir, days=7))
+
+
+@query()
+def structured_round_trip_all(spark, sf_dir):
+    return _round_trip(_structured(spark, sf_dir))
+
+
+def _round_trip(texts: DataFrame) -> DataFrame:
+    parsed = parse.parse(texts.select("doc", "text"))
     return parsed.questions.select("label", "id", "unit", "marks", F.size("topics").cast("long").alias("n_topics"), F.array_join("topics", ",").alias("topics"))
 
 
@@ -431,17 +473,17 @@ def structured_texts(spark, sf_dir):
 
 @query()
 def tree_heights(spark, sf_dir):
-    return diagnostics.heights(diagnostics.lookups(data.mentions(spark, sf_dir, before="1995-02-01")))
+    return diagnostics.heights(diagnostics.lookups(data.mentions(spark, sf_dir)))
 
 
 @query()
 def tree_shape(spark, sf_dir):
-    return diagnostics.tree_shape(diagnostics.lookups(data.mentions(spark, sf_dir, before="1995-02-01")))
+    return diagnostics.tree_shape(diagnostics.lookups(data.mentions(spark, sf_dir)))
 
 
 @query()
 def analysis(spark, sf_dir):
-    """Resolution, store, clusters and Prim's route of the graph slice in one result."""
-    raws = data.raw_mentions(spark, sf_dir, **WEEK)
+    """Resolution, store, clusters and Prim's route of all orders in one result."""
+    raws = data.raw_mentions(spark, sf_dir, topic=WEEK["topic"])
     result = from_mentions(raws.select("doc", "paper", "label").distinct(), raws, Options(threshold=1.0))
     return result.groups().select("cluster", "ord", "key", "display", "via_display", "count")
