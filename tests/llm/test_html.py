@@ -22,6 +22,15 @@ def test_cut_off_and_odd_markup():
     assert main_text("<article hidden><p>no</p></article><article><p>yes</p></article>") == "yes"
 
 
+def test_several_articles():
+    assert main_text("<article><p>part one</p></article><p>between</p><article><p>second part</p></article>") == "part one\n\nsecond part"
+    long = "<article class='comment reply'><p>" + STOPS * 5 + "</p></article>"
+    assert main_text("<article class='post'><p>short</p></article>" + long) == "short"
+    assert main_text("<article style='display:none'><p>never shown</p></article><article><p>yes</p></article>") == "yes"
+    assert main_text(long) == (STOPS * 5).strip()
+    assert main_text("<p>" + STOPS * 3 + "</p>" + long) == (STOPS * 3).strip()
+
+
 def test_two_passes():
     long = STOPS * 3
     page = f"<div><p>Menu</p></div><div><a href=x>link one</a> <a>link two</a></div><h1>Title</h1><p>{long}</p><p>Short line.</p><p>{long}</p><p>{'Zxq ' * 60}</p><p>Tail</p><p>Copyright 2020</p>"

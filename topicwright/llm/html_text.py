@@ -7,8 +7,9 @@ falls into blocks at the borders of block elements. Each block knows whether it
 lies in an element that never holds article text (by tag, role, class or id),
 whether in an article or main element, and how much of it is link text.
 
-If the page marks its article, its blocks are the text: nothing in it is
-dropped but those elements. Otherwise pass 1 decides blocks by length, link
+If the page marks articles, their blocks are the text, those of several in page
+order: nothing in them is dropped but those elements, articles in an article and
+articles marked as comments (unless the page has no other text). Otherwise pass 1 decides blocks by length, link
 density and share of stop words (good, bad, or undecided: short, or near the
 border); pass 2 gives undecided blocks the label of their nearest decided
 neighbours (good if those on both sides are, or near-good ones on either side).
@@ -52,6 +53,8 @@ MARKS = frozenset(
         "share sharing social comment comments commentlist reply replies respond disqus discussion reactions"
     ).split()
 )
+#: Words of class and id names of articles that are readers' comments.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 #: An open element that a start tag of the key's kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements at which the search for an open element stops.
@@ -83,7 +86,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 class Block:
     text: str
     link_chars: int
-    article: int  # number of the article element, 0 outside of any
+    article: int  # number of the article element, negative in one marked as a comment, 0 outside of any
     heading: bool
     label: str = ""
 
@@ -126,7 +129,7 @@ class _Reader:
                 return
 
 
-def _marks(name: str, attributes: str) -> bool:
+def _marks(attributes: str, marks: frozenset[str] = MARKS) -> bool:
     """Whether role, class, id or a hiding attribute says that the element holds no article text."""
     for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         value = a or b or c
@@ -136,7 +139,7 @@ def _marks(name: str, attributes: str) -> bool:
         if key in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
-                if not ({"has", "no", "with", "without"} & set(parts[:1])) and MARKS & set(parts):
+                if not ({"has", "no", "with", "without"} & set(parts[:1])) and marks & set(parts):
                     return True
     return False
 
@@ -193,14 +196,14 @@ def blocks(source: str) -> list[Block]:
             top = r.stack[-1] if r.stack else _Open("", False, 0)
             outside, article = top.outside, top.article
             if name not in ("html", "body"):
-                marked = name in OUTSIDE or bool(m["attributes"].strip()) and _marks(name, m["attributes"]) and name not in ("article", "main")
+                marked = name in OUTSIDE or bool(m["attributes"].strip()) and _marks(m["attributes"], frozenset() if name in ("article", "main") else MARKS)
                 outside = outside or marked
                 if article and name == "article":
                     outside = True  # an article in an article is a comment or a teaser
                 if not outside and not article and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m["attributes"], re.I)):
                     if name == "article" or "<article" not in source[at:].lower():
                         r.articles += 1
-                        article = r.articles
+                        article = -r.articles if name == "article" and _marks(m["attributes"], COMMENTS) else r.articles
             r.stack.append(_Open(name, outside, article, top.header or name == "header"))
     r.flush()
     return r.blocks
@@ -253,14 +256,10 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
 
 def main_text(source: str | None, rules: Rules = Rules()) -> str:
     found = blocks(source or "")
-    sizes: dict[int, int] = {}
-    for b in found:
-        if b.article:
-            sizes[b.article] = sizes.get(b.article, 0) + len(b.text)
-    if sizes:
-        longest = max(sizes, key=lambda k: (sizes[k], -k))
-        return "\n\n".join(b.text for b in found if b.article == longest)
-    return "\n\n".join(b.text for b in classify(found, rules) if b.label == "good")
+    own = [b for b in found if b.article > 0]
+    if not own:
+        own = [b for b in classify([b for b in found if not b.article], rules) if b.label == "good"] or [b for b in found if b.article]
+    return "\n\n".join(b.text for b in own)
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Rules = Rules()) -> DataFrame:
