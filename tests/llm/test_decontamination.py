@@ -84,6 +84,18 @@ def test_rows(spark):
     assert dec.contamination(df.limit(0), bench).count() == 0 and dec.clean_rows(df, bench.limit(0)).count() == len(docs)
 
 
+def test_quotes_at_all_offsets(spark):
+    r = random.Random(6)
+    items = [(k, dec.normal(sentence(r, n))) for k, n in enumerate((14, 30, 50, 90))]
+    quotes = [(k, t[a : a + n]) for k, t in items for n in (60, 75, 100, 118, 140, 170) for a in range(0, len(t) - n + 1)]
+    docs = [(k, f"{sentence(r, 8)} {q} {sentence(r, 8)}") for k, q in quotes]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = dec.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(rows) == len(docs) and all(x["items"] == [x.doc_id] for x in rows)
+    none = spark.createDataFrame([(k, sentence(r, 60)) for k in range(50)], "doc_id long, text string")
+    assert not any(x.contaminated for x in dec.contamination(none, spark.createDataFrame(items, "item_id long, text string")).collect())
+
+
 def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(dec, "BLOCK_CHARS", 300)
     r = random.Random(4)

@@ -10,6 +10,10 @@ Q-grams are counted in overlapping bands of diagonals, each of which holds any
 such span whole; regions that reach the bound are retained, and a region counts
 if a banded alignment finds the window in it within k edits.
 
+Longer items are also cut into windows of QUOTE characters that start every so
+many as their edit budget allows, so that a quotation of QUOTE characters is
+found at any place of an item, whatever the windows above make of it.
+
 Frequent Q-grams are left out of the index window by window, and the window's
 bound falls by as many, so nothing is lost by it; those that would take the
 bound under LEAST stay.
@@ -37,8 +41,10 @@ from .common import SharedFiles, by_bytes, new_folder, ragged
 Q = 8
 WINDOW = 128
 STEP = 64
+#: A verbatim quotation of so many characters is found wherever it begins.
+QUOTE = 60
 LEAST = 8
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 18
 SLICE_BYTES = 1 << 20
 #: Shared Q-grams that are counted at a time.
 HITS = 1 << 19
@@ -84,7 +90,7 @@ class Index:
     """Windows of a block of items, and their Q-grams by hash."""
 
     items: np.ndarray  # item of each window
-    codes: np.ndarray  # window characters, padded to WINDOW + STEP - 1
+    codes: np.ndarray  # window characters, padded to one length
     size: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
@@ -98,20 +104,20 @@ class Index:
         self.there[_slot(self.hashes)] = True
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], rate: float, shortest: int) -> Index:
+    def of(cls, items: list[tuple[int, str]], rate: float, shortest: int, width: int = WINDOW, step: int = STEP) -> Index:
         cut: list[tuple[int, str]] = []
         for item, text in items:
             t = normal(text)
             if len(t) < max(Q, shortest):
                 continue
-            if len(t) < WINDOW + STEP:
+            if len(t) < width + step:
                 cut.append((item, t))
             else:
-                starts = sorted({*range(0, len(t) - WINDOW + 1, STEP), len(t) - WINDOW})
-                cut += [(item, t[s : s + WINDOW]) for s in starts]
+                starts = sorted({*range(0, len(t) - width + 1, step), len(t) - width})
+                cut += [(item, t[s : s + width]) for s in starts]
         size = np.array([len(t) for _, t in cut], np.int64)
         edits = np.minimum((size * rate).astype(np.int64), (size + 1 - LEAST) // Q - 1).clip(0)
-        codes = np.zeros((len(cut), WINDOW + STEP), np.uint32)
+        codes = np.zeros((len(cut), width + step), np.uint32)
         hashes, window, place = [], [], []
         for w, (_, t) in enumerate(cut):
             c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -136,6 +142,12 @@ class Index:
         distinct, first = np.unique(h, return_index=True)
         return cls(np.array([i for i, _ in cut], np.int64), codes, size, edits, bound, distinct, np.append(first, len(h)), window, place)
 
+    @classmethod
+    def of_quotes(cls, items: list[tuple[int, str]], rate: float, shortest: int) -> Index:
+        """Windows of QUOTE characters; a quotation that lies between two of them lacks no more of one than its edits."""
+        step = max(1, min(int(QUOTE * rate), (QUOTE + 1 - LEAST) // Q - 1))
+        return cls.of(items, rate, max(shortest, QUOTE), QUOTE, step)
+
     def save(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **{k: v for k, v in vars(self).items() if k != "there"})
@@ -208,7 +220,7 @@ def regions(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
         return none, none, none, none
     width = 2 * stride
     edits = np.empty(len(window), np.int64)
-    padded = np.concatenate([np.full(width, _GAP, np.uint32), codes, np.full(WINDOW + STEP + width, _GAP, np.uint32)])
+    padded = np.concatenate([np.full(width, _GAP, np.uint32), codes, np.full(index.codes.shape[1] + width, _GAP, np.uint32)])
     for a in range(0, len(window), 4096):
         some = slice(a, a + 4096)
         size = index.size[window[some]]
@@ -218,13 +230,13 @@ def regions(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     return text[good], window[good], (low - starts[text])[good], edits[good]
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _loaded(folder: str, name: str) -> Index:
     return Index.load(SharedFiles(folder).read(name))
 
 
 def write_index(benchmark: DataFrame, rate: float, shortest: int, item_col: str = "item_id", text_col: str = "text") -> tuple[str, list[str]]:
-    """Writes the index in blocks of about BLOCK_CHARS characters to the shared folder; returns it and the blocks' names."""
+    """Writes the index in blocks of about BLOCK_CHARS characters to the shared folder; returns it and the names of their files, two a block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = max(1, -(-total // BLOCK_CHARS))
@@ -233,9 +245,10 @@ def write_index(benchmark: DataFrame, rate: float, shortest: int, item_col: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, some in zip(batch.column("block").to_pylist(), batch.column("some").to_pylist(), strict=True):
-                name = f"block-{block:06d}.npz"
-                SharedFiles(folder).write(name, [Index.of(sorted((x["item"], x["text"]) for x in some), rate, shortest).save()])
-                yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+                names, own = [f"block-{block:06d}-{kind}.npz" for kind in ("windows", "quotes")], sorted((x["item"], x["text"]) for x in some)
+                for name, make in zip(names, (Index.of, Index.of_quotes), strict=True):
+                    SharedFiles(folder).write(name, [make(own, rate, shortest).save()])
+                yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
 
     blocks = items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct("item", "text")).alias("some"))  # BLOCK_CHARS each
     return folder, sorted(r["name"] for r in blocks.mapInArrow(write, "name string").collect())
@@ -268,7 +281,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, short
     """(id_col, contaminated, items, n_windows, fewest_edits) of each row.
 
     items: ids of the benchmark items found, ascending; n_windows: distinct
-    windows found; fewest_edits: least edits of these, null if none. Null and empty
+    windows found, of both lengths; fewest_edits: least edits of these, null if none. Null and empty
     texts hold nothing; repeated rows are tested each; items with a null id or
     text, or of fewer than `shortest` characters (too short to tell a quotation
     from chance), are left out; an empty benchmark finds nothing.
