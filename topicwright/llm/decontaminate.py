@@ -45,9 +45,9 @@ STEP = 64
 QUOTE = 60
 LEAST = 8
 BLOCK_CHARS = 1 << 18
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Shared Q-grams that are counted at a time.
-HITS = 1 << 19
+HITS = 1 << 17
 _GAP = 0xFFFFFFFF
 _TABLE_BITS = 22
 
