@@ -9,22 +9,28 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that materialise() has made.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made once per session and set as the checkpoint folder.
+    Where the setting is absent on one machine (tests) a temporary folder is made
+    once per session and set as the checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='topicwright-')}")
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -45,17 +51,33 @@ def _delete(spark: SparkSession, uri: str) -> None:
         pass
 
 
-def discard(spark: SparkSession, uri: str) -> None:
-    """Delete a folder whose contents no later plan reads."""
-    _delete(spark, uri)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: later plans survive lost executors and don't compute it twice."""
     spark = df.sparkSession
     uri = new_folder(spark, name)
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    made = spark.read.schema(df.schema).parquet(uri)
+    _FOLDERS[made] = uri
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of materialised tables that no later plan reads."""
+    for t in tables:
+        if uri := _FOLDERS.pop(t, None):
+            _delete(t.sparkSession, uri)
+
+
+def free_names(wanted: tuple[str, ...], taken: list[str]) -> list[str]:
+    """Column names like the wanted ones that no column has, whatever its case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
 
 
 class SharedFiles:
@@ -100,8 +122,10 @@ class SharedFiles:
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the bytes of the Arrow batches that tasks exchange with Python, unless the session sets its own: long texts would fill a batch of 10,000 rows."""
-    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.isModifiable(name) or spark._jsparkSession.sessionState().conf().contains(name):
+        return
+    spark.conf.set(name, size)
 
 
 def give_back() -> None:
@@ -113,14 +137,14 @@ def give_back() -> None:
         pass
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.RecordBatch]:
-    """Slices of consecutive rows of about `target` bytes in `column`; a longer row is a slice of its own."""
+def by_bytes(batch: pa.RecordBatch, column: str, target: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of consecutive rows of about `target` bytes in `column`, and at most `rows`; a longer row is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)])
     at, n = 0, len(sizes)
     while at < n:
         end = int(np.searchsorted(before, before[at] + target, "right")) - 1
-        end = max(at + 1, min(end, n))
+        end = max(at + 1, min(end, n, at + rows))
         yield batch.slice(at, end - at)
         at = end
     give_back()
@@ -138,10 +162,5 @@ def table_parts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """Bytes that the optimizer expects the plan to read; grows with the input and takes no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

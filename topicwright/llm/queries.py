@@ -29,8 +29,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table_parts(spark, sf_dir, "documents")
-    return train(docs, table_parts(spark, sf_dir, "labels")).verdicts(docs)
+    return train(table_parts(spark, sf_dir, "documents"), table_parts(spark, sf_dir, "labels")).verdicts()
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
