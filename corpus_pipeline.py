@@ -20,7 +20,7 @@ from topicwright.llm.queries import WORD_BPE
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity isn't over their language's threshold."""
-    return train(docs, table_parts(spark, sf_dir, "labels")).accepted(docs)
+    return train(docs, table_parts(spark, sf_dir, "labels")).accepted()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
