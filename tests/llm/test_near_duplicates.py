@@ -80,6 +80,44 @@ def test_odd_rows(spark):
     assert sorted((repr(r.doc_id) for r in kept.collect())) == sorted(map(repr, [1, 2, 3, 4, 6, None, 8, 9, 10, 12, 13]))
 
 
+def test_null_ids_and_repeated_ids(spark):
+    base = [f"z{k}" for k in range(40)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, "a b c"), (None, "a b c"), (None, " ".join(base)), (None, near), (5, near + " x y"), (5, near + " x"), (None, "alone"), (6, " ".join(base[:30]) + " but quite another one"), (6, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in join.keep_one(df).collect()]
+    assert kept.count((None, "a b c")) == 1 and kept.count((None, "alone")) == 1 and kept.count((6, "")) == 2
+    assert sum(t.startswith("z0") for _, t in kept) == len({c for d, n, c in brute(rows) if d is not None and n})
+    assert all(d is not None for d, t in kept if t.startswith("z0"))
+
+
+def test_many_short_texts_in_a_batch(spark):
+    """Pairs at the threshold itself, in batches of more texts than 16 bits can number."""
+    rows = []
+    for k in range(20_000):
+        words = [f"w{k}x{j}" for j in range(11)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:10], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(sizes)
+    spark.conf.set(name, "100000")
+    spark.conf.set(sizes, "64m")
+    try:
+        found = join.near_duplicates(df)
+        assert found.select("component_id").distinct().count() == 20_000 and found.filter("component_id = 2 * floor(doc_id / 2)").count() == 40_000
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set(sizes, before)
+
+
+def test_hot_keys(spark):
+    many = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    one = many.groupBy("k").agg(join.F.count("*").alias("n")).withColumn("x", join.F.col("k") * 2)
+    got = join._join_hot(many, one, "k", "n")
+    assert got.count() == 5000 and got.filter("x = 2 * k").count() == 5000 and got.columns == ["k", "id", "x"]
+
+
 def test_shingle_sets():
     texts = ["", " ", None, "a", "a b c d", "a b c d e a b c d e", "A b", "a b", "x" * 200 + " y z w q r", "é\tÉ b\x0bc d\x0ce f"]
     h, n = shingle_sets(pa.array(["pad one", *texts]).slice(1))

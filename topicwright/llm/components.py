@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     driver. Edges with a null end are left out.
     """
     both = materialise(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u is not null and v is not null").distinct(), "edges")
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("v"), F.least("u", "c").alias("c")), "labels")
+    table = labels = materialise(both.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("v"), F.least("u", "c").alias("c")), "labels")
     while True:
         near = both.join(labels, "v").groupBy(F.col("u").alias("v")).agg(F.min("c").alias("near"))
         up = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
@@ -27,5 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         roots = best.groupBy("c").agg(F.min("best").alias("root")).select(F.col("c").alias("v"), "root")
         after = materialise(best.join(roots, "v", "left").select("v", F.least("best", F.coalesce("root", "best")).alias("c"), (F.least("best", F.coalesce("root", "best")) < F.col("c")).alias("moved")), "labels")
         labels = after.select("v", "c")
+        discard(table)
+        table = after
         if after.filter("moved").isEmpty():
+            discard(both)
             return labels

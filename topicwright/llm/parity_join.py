@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, ragged, shuffle_parts
+from .common import bounded_batches, by_bytes, discard, materialise, ragged, shuffle_parts
 from .components import components
 from .shingles import SLICE_BYTES, mix, shingle_sets
 
@@ -63,6 +63,10 @@ JOIN_BITS = 1024
 BROADCAST_ROWS = 500_000
 #: Longest bit sketch, in bits.
 MOST_BITS = 8192
+#: Texts in a slice, so that twice their number fits in the 16 bits of a packed block's owner.
+SLICE_TEXTS = 1 << 15
+#: A key that has more than one of so many rows is joined by broadcast; so there are fewer such keys than this.
+HOT = 1000
 PART_ROWS = "kind int, part int, id long, text_key long, n long, gid long, class binary, bits binary, slack0 int, slack1 int, blocks binary, members array<long>"
 
 
@@ -156,12 +160,12 @@ def _batch(rows: int, **columns) -> pa.RecordBatch:
 
 
 def _sketch(bands: Bands, parts: int):
-    """Text rows to rows of kind 0 (a text: id, n, class, gid; bits and slacks with the first of its class in the slice) and 1 (packed blocks for a part)."""
+    """Text rows to rows of kind 0 (a text: id, n, class, the gid of the first of its class in the slice, which also has bits and slacks) and 1 (packed blocks for a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for some in by_bytes(batch, "text", SLICE_BYTES):
+            for some in by_bytes(batch, "text", SLICE_BYTES, SLICE_TEXTS):
                 h, n = shingle_sets(some.column("text"))
                 ends = np.cumsum(n)
                 classes = [_class(h[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
@@ -171,6 +175,7 @@ def _sketch(bands: Bands, parts: int):
                 own = np.array([k for k in sorted(first.values()) if n[k]], np.int64)
                 gid = np.full(len(n), -1, np.int64)
                 gid[own] = number + np.arange(len(own))
+                gid = np.where(n > 0, gid[[first[c] for c in classes]], -1)
                 sub, size = h[ragged((ends - n)[own], n[own])], n[own]
                 scheme, partner = bands.of(size), bands.largest_partner(size)
                 sig, who, slack0 = block_sketches(sub, size, scheme, bands, partner)
@@ -267,7 +272,9 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, bands: Bands
 
     both = F.size(F.array_intersect("x", "y"))
     meet = F.lit(100) * both >= share * (F.size("x") + F.size("y") - both)
-    return materialise(full.filter(meet).select("u", "v"), "links")
+    links = materialise(full.filter(meet).select("u", "v"), "links")
+    discard(close, wanted, sets)
+    return links
 
 
 def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -295,29 +302,33 @@ def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame,
     low = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("size"))) - 1)
     probe = probe.filter(F.col("rank") <= F.col("n") - share(F.col("n") + low) + 1)
     prefixes = [materialise(x.select(F.xxhash64("token", "size").alias("b"), "v", "n"), "prefixes") for x in (index, probe)]
+    discard(tokens, ranked)
     return *prefixes, sets.select(F.col("gid").alias("v"), "bits")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", text_keys: bool = False) -> DataFrame:
-    """(id_col, n_shingles, component_id) of each row; with text_keys also xxhash64 of the text.
+def _join_hot(many: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """many joined to one, whose column `count` has the rows of many with its key: keys of more than a share of 1 / HOT, fewer than HOT, by broadcast, all others by shuffle."""
+    total = many.count()
+    hot = one.filter(F.col(count) * HOT > total).drop(count)  # fewer than HOT rows
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(count) * HOT <= total).drop(count), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
 
-    Rows link if 100 * shared shingles >= percent * shingles in either (percent
-    over 50); component_id is the least id that links lead to, itself included.
-    A text without words (null, empty, white space) links with nothing, not even
-    with its like. Repeated rows link as copies; rows with a null id link and
-    count, but give no component its id, and one whose component has no other
-    id gets null. An empty table gives an empty result.
-    """
+
+def _classified(df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n, c, component) of each row: xxhash64 of its text, size of its set, a number for its component (null without words) and the component's least id."""
     spark = df.sparkSession
+    bounded_batches(spark)
     bands, parts = Bands(percent), max(64, 4 * shuffle_parts(spark))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sketch(bands, parts), PART_ROWS)
     found = materialise(sketched.groupBy("part").applyInArrow(_buckets, PART_ROWS), "buckets")
-    rows = found.filter("kind = 0").select("id", "text_key", "n", "gid", "class", "bits", "slack0", "slack1")
+    rows = found.filter("kind = 0").select("id", "text_key", "n", F.col("gid").alias("own"), "class", "bits", "slack0", "slack1")
 
     # a vertex for each class: the least gid that any slice gave it
-    heads = rows.filter("gid is not null").groupBy("class").agg(F.min("gid").alias("gid"))
-    vertices = materialise(rows.filter("gid is not null").withColumnRenamed("gid", "own").join(heads, "class").select("own", "gid", "class", "id", "n", "bits", "slack0", "slack1"), "vertices")
+    firsts = rows.filter("bits is not null").drop("text_key")
+    heads = materialise(firsts.groupBy("class").agg(F.min("own").alias("gid"), F.count("*").alias("slices")), "heads")
+    vertices = _join_hot(firsts, heads, "class", "slices").withColumn("bits", F.when(F.col("own") == F.col("gid"), F.col("bits")))
+    vertices = materialise(vertices, "vertices")
     to = vertices.select(F.col("own").alias("m"), F.col("gid").alias("v"))
     vertex = vertices.filter("own = gid").drop("own")
 
@@ -328,16 +339,18 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     hot = frequent.groupBy("v", "role").agg(F.count("*").alias("hot"))
     lacks = F.col("hot") > F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))
     poor = materialise(hot.join(vertex.withColumnRenamed("gid", "v"), "v").filter(lacks).select(F.col("v").alias("gid"), "class", "id").distinct(), "poor")
-    index, probe, fold = _rarest(docs, poor, bands)
-
-    firsts = buckets.groupBy("b").agg(F.min("v").alias("u"), F.count("*").alias("k")).filter("k > 1")
-    stars = buckets.join(firsts, "b").filter("u < v").select("u", "v")
-    few = buckets.join(firsts.filter(f"k > 2 and k <= {SMALL}").select("b"), "b", "left_semi")
-    pairs = few.select("b", F.col("v").alias("u")).join(few, "b").filter("u < v").select("u", "v")
-    centres = index.groupBy("b").agg(F.min_by("v", F.xxhash64("v", "b")).alias("u"))
-    drawn = Window.partitionBy("v").orderBy(F.xxhash64("b", "v"), "b")
-    some = probe.join(centres, "b").filter("u <> v").withColumn("draw", F.row_number().over(drawn)).filter(f"draw <= {STARS}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    tested = materialise(stars.union(pairs).union(some).distinct(), "pairs")
+    rarest = None if poor.isEmpty() else _rarest(docs, poor, bands)
+
+    heads_of = buckets.groupBy("b").agg(F.min("v").alias("u"), F.count("*").alias("k")).filter("k > 1")
+    stars = buckets.join(heads_of, "b").filter("u < v").select("u", "v")
+    few = buckets.join(heads_of.filter(f"k > 2 and k <= {SMALL}").select("b"), "b", "left_semi")
+    tested = stars.union(few.select("b", F.col("v").alias("u")).join(few, "b").filter("u < v").select("u", "v"))
+    if rarest:
+        index, probe, _ = rarest
+        centres = index.groupBy("b").agg(F.min_by("v", F.xxhash64("v", "b")).alias("u"))
+        drawn = Window.partitionBy("v").orderBy(F.xxhash64("b", "v"), "b")
+        tested = tested.union(probe.join(centres, "b").filter("u <> v").withColumn("draw", F.row_number().over(drawn)).filter(f"draw <= {STARS}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    tested = materialise(tested.distinct(), "pairs")
     links = _verify(tested, vertex, docs, bands)
 
     # what is left: pairs of a bucket that are not joined yet
@@ -352,47 +365,72 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     now = materialise(labelled(buckets), "joined")
     left = materialise(now.join(live(now), "b", "left_semi"), "live")
     rest = left.select("b", F.col("v").alias("u"), F.col("c").alias("cu")).join(left, "b").filter("u < v and cu <> c").select("u", "v")
-    now, asked = materialise(labelled(index), "joined"), materialise(labelled(probe), "joined")
-    alive = materialise(live(now.union(asked)), "live")
-    own = now.join(alive, "b", "left_semi").select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
-    own = own.join(fold.select(F.col("v").alias("u"), F.col("bits").alias("x")), "u")
-    other = asked.join(alive, "b", "left_semi").join(fold, "v")
-    apart = F.aggregate(F.zip_with("x", "bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    may = F.lit(100 - percent) * (F.col("nu") + F.col("n")) >= F.lit(100 + percent) * apart
-    crossed = own.join(other, "b").filter("cu <> c and struct(nu, u) < struct(n, v)").filter(may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = rest.union(crossed).distinct().join(tested, ["u", "v"], "left_anti")
-    more = _verify(materialise(rest, "rest"), vertex, docs, bands)
-    label = components(links.union(more))
-
-    # from vertices to classes to rows
-    by_class = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("least"))
-    joined = vertex.join(label, F.col("gid") == F.col("v")).select("class", "c").join(by_class, "class")
-    groups = joined.groupBy("c").agg(F.min("least").alias("component"))
-    linked_classes = joined.join(groups, "c").select("class", "component")
-    answer = by_class.join(linked_classes, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
-    known = rows.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(answer, "class", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(["text_key"] if text_keys else []))
+    done = [now, left]
+    if rarest:
+        index, probe, fold = rarest
+        held, asked = materialise(labelled(index), "joined"), materialise(labelled(probe), "joined")
+        alive = materialise(live(held.union(asked)), "live")
+        own = held.join(alive, "b", "left_semi").select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
+        own = own.join(fold.select(F.col("v").alias("u"), F.col("bits").alias("x")), "u")
+        other = asked.join(alive, "b", "left_semi").join(fold, "v")
+        apart = F.aggregate(F.zip_with("x", "bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        may = F.lit(100 - percent) * (F.col("nu") + F.col("n")) >= F.lit(100 + percent) * apart
+        crossed = own.join(other, "b").filter("cu <> c and struct(nu, u) < struct(n, v)").filter(may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        rest = rest.union(crossed)
+        done += [index, probe, held, asked, alive]
+    rest = materialise(rest.distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        before, links = links, materialise(links.union(_verify(rest, vertex, docs, bands)), "links")
+        discard(before, label)
+        label = components(links)
+    discard(*done, rest, tested, buckets, poor, links)
+
+    # from vertices to classes of slices to rows
+    least = rows.filter("n > 0").groupBy(F.col("own").alias("m")).agg(F.min("id").alias("least"))
+    by_vertex = least.join(to, "m").groupBy("v").agg(F.min("least").alias("least"))
+    by_vertex = materialise(by_vertex.join(label, "v", "left").select("v", F.coalesce("c", "v").alias("c"), "least"), "classes")
+    groups = materialise(by_vertex.groupBy("c").agg(F.min("least").alias("component"), F.count("*").alias("size")), "groups")
+    answer = _join_hot(by_vertex, groups, "c", "size").select("v", "c", "component").join(heads.select(F.col("gid").alias("v"), "slices"), "v")
+    answer = materialise(answer, "answer")
+    told = materialise(_join_hot(to, answer, "v", "slices").select(F.col("m").alias("own"), "c", "component"), "told")
+    discard(vertices, heads, by_vertex, groups, answer, label)
+    worded = rows.filter("n > 0").select("id", "text_key", "n", "own").join(told, "own").select("id", "text_key", "n", "c", "component")
+    return worded.union(rows.filter("n = 0").select("id", "text_key", "n", F.lit(None).cast("long"), "id"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) of each row.
+
+    Rows link if 100 * shared shingles >= percent * shingles in either (percent
+    over 50); component_id is the least id that links lead to, itself included.
+    A text without words (null, empty, white space) links with nothing, not even
+    with its like. Repeated rows link as copies; rows with a null id link and
+    count, but give no component its id, and one whose component has no other
+    id gets null. An empty table gives an empty result.
+    """
+    found = _classified(df, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all columns: of each component the row with its least id, of rows that repeat id and text one.
+    """The rows of df that stay, with all columns: of each component one, with its least id (null last), of these the one whose text has the least hash, and of rows that repeat id and text one.
 
-    Rows without words all stay. A row with a null id stays only if its component
-    holds no row with an id. Ids of rows to drop are broadcast if they are counted
-    to be at most BROADCAST_ROWS (16 bytes each); beyond it the rows are joined.
+    Rows without words all stay. Ids of rows to drop are broadcast if they are
+    counted to be at most BROADCAST_ROWS (16 bytes each); beyond it the rows are
+    joined.
     """
-    found = materialise(near_duplicates(df, percent, id_col, text_col, text_keys=True), "components")
-    same = F.col(id_col).eqNullSafe(F.col("component_id"))
-    key = [F.col(id_col).alias("__id"), F.col("text_key").alias("__key")]
-    on = lambda rows: df[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(df[text_col].cast("string")) == rows["__key"])
-    drop = materialise(found.filter((F.col("n_shingles") > 0) & ~same).select(*key).distinct(), "drop")
-    if drop.count() <= BROADCAST_ROWS:
+    found = materialise(_classified(df, percent, id_col, text_col).filter("n > 0").select("id", "text_key", "c"), "components")
+    least = found.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("key"))).alias("best"), F.count("*").alias("size"))
+    placed = _join_hot(found, materialise(least, "survivors"), "c", "size")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.key"))
+    key = [F.col("id").alias("__id"), F.col("text_key").alias("__key")]
+    counted = materialise(placed.groupBy(*key, stays.alias("stays")).agg(F.count("*").alias("n")).filter("not stays or n > 1"), "decided")
+    on = lambda rows, with_: rows[id_col].cast("long").eqNullSafe(with_["__id"]) & (F.xxhash64(rows[text_col].cast("string")) == with_["__key"])
+    drop, twice = (counted.filter(c).select("__id", "__key") for c in ("not stays", "stays"))
+    if counted.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    twice = found.filter((F.col("n_shingles") > 0) & same & F.col(id_col).isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    twice = materialise(twice, "repeated")
-    kept = df.join(drop, on(drop), "left_anti")
+    kept = df.join(drop, on(df, drop), "left_anti")
     if twice.isEmpty():
         return kept
-    again = lambda rows: kept[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(kept[text_col].cast("string")) == rows["__key"])
-    return kept.join(twice, again(twice), "left_anti").unionAll(kept.join(twice, again(twice), "left_semi").dropDuplicates([id_col, text_col]))
+    again = kept.join(twice, on(kept, twice), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, on(kept, twice), "left_anti").unionAll(again)
