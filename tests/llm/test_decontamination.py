@@ -31,7 +31,7 @@ def edited(r, text, n):
 def test_all_within_the_budget_and_none_beyond():
     r = random.Random(2)
     items = [(k, sentence(r, n)) for k, n in enumerate((8, 15, 30, 60, 7))]
-    index = dec.Index.load(dec.Index.of(items, 0.08, 20).save())
+    index = dec.Index.load(dec.Index.of(items, 0.08).save())
     texts = []
     for k in range(60):
         _, t = items[k % 5]
@@ -40,8 +40,8 @@ def test_all_within_the_budget_and_none_beyond():
     text, window, _, edits = dec.regions(index, texts)
     got = {(t, w): e for t, w, e in sorted(zip(text.tolist(), window.tolist(), edits.tolist(), strict=True), reverse=True)}
     for t, x in enumerate(texts):
-        for w in range(len(index.items)):
-            piece = "".join(map(chr, index.codes[w, : index.size[w]]))
+        for w in range(len(index.size)):
+            piece = "".join(map(chr, index.codes[index.start[w] :][: index.size[w]]))
             least = edit_distance_inside(piece, x) if x else len(piece)
             if least <= index.edits[w]:
                 assert got.get((t, w)) is not None and least <= got[t, w] <= index.edits[w]
@@ -49,23 +49,24 @@ def test_all_within_the_budget_and_none_beyond():
                 assert (t, w) not in got
 
 
-def test_frequent_grams_keep_what_they_must():
+def test_items_that_share_much():
     items = [(k, "the same long beginning of every item in this benchmark, then " + sentence(random.Random(k), 9)) for k in range(40)]
-    index = dec.Index.of(items, 0.08, 20)
-    assert (index.bound >= dec.LEAST).all() and len(index.window) < sum(index.size)
+    index = dec.Index.of(items, 0.08)
+    assert (index.bound >= dec.LEAST).all() and len(index.places) == sum(len(t) - dec.Q + 1 for _, t in items)
     texts = [dec.normal("xx " + t + " yy") for _, t in items]
     text, window, _, _ = dec.regions(index, texts)
-    found = {(t, int(index.items[w])) for t, w in zip(text.tolist(), window.tolist(), strict=True)}
+    item = index.items[np.searchsorted(index.own, window, "right") - 1]
+    found = set(zip(text.tolist(), item.tolist(), strict=True))
     assert {(k, k) for k in range(40)} <= found
 
 
 def test_text_that_repeats_itself(monkeypatch):
     item = "again and again " * 12
-    index = dec.Index.of([(1, item), (2, sentence(random.Random(1), 30))], 0.08, 20)
+    index = dec.Index.of([(1, item), (2, sentence(random.Random(1), 30))], 0.08)
     texts = [dec.normal(item * 200), dec.normal("no " + item[:100]), "x"]
     whole = [x.tolist() for x in dec.regions(index, texts)]
     monkeypatch.setattr(dec, "HITS", 1000)
-    assert [x.tolist() for x in dec.regions(index, texts)] == whole and set(whole[0]) == {0}
+    assert [x.tolist() for x in dec.regions(index, texts)] == whole and set(whole[0]) == {0, 1}
 
 
 def test_rows(spark):
@@ -96,13 +97,20 @@ def test_quotes_at_all_offsets(spark):
     assert not any(x.contaminated for x in dec.contamination(none, spark.createDataFrame(items, "item_id long, text string")).collect())
 
 
+def test_short_items_stand_as_they_are(spark):
+    items = [(1, "Quite short"), (2, "exactly8"), (3, "seven77"), (4, "a short item that is long enough"), (5, None), (1, "Quite short"), (1, "Quite short")]
+    docs = [(1, "it is quite\n short, they say"), (2, "quite shirt"), (3, "not exactly8."), (4, "seven77"), (5, "a short item that is long enouh"), (6, "a short item that is")]
+    rows = dec.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r["items"] for r in rows} == {1: [1], 2: [], 3: [2], 4: [], 5: [4], 6: []}
+
+
 def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(dec, "BLOCK_CHARS", 300)
     r = random.Random(4)
     items = [(k, sentence(r, 20)) for k in range(12)]
     df = spark.createDataFrame([(k, "before " + t + " after") for k, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(dec.write_index(bench, 0.08, 20)[1]) > 1
+    assert len(dec.write_index(bench, 0.08)[1]) > 1
     assert {x.doc_id: x["items"] for x in dec.contamination(df, bench).collect()} == {k: [k] for k, _ in items}
 
 

@@ -1,25 +1,22 @@
 """Benchmark decontamination by the q-gram lemma over diagonal bands, verified by banded alignment.
 
 Texts are compared in lower case with each run of white space as one space.
-Benchmark items are cut into windows of WINDOW characters (a shorter item is one
-window; windows start every STEP, the last one ends with the item). A window of
+Windows are laid over each benchmark item: of WINDOW characters every STEP, of
+QUOTE characters every so many as their edit budget allows (so that a verbatim
+quotation of QUOTE characters is found at any place of an item), and the whole
+item if it is short; the last one of each kind ends with the item. A window of
 m characters that lies in a document with at most k = floor(rate * m) edits
 shares at least m + 1 - Q * (k + 1) of its Q-grams with it, on diagonals (place
-in the document less place in the window) that span at most k + 1. So shared
+in the document less place in the item) that span at most k + 1. So shared
 Q-grams are counted in overlapping bands of diagonals, each of which holds any
-such span whole; regions that reach the bound are retained, and a region counts
-if a banded alignment finds the window in it within k edits.
-
-Longer items are also cut into windows of QUOTE characters that start every so
-many as their edit budget allows, so that a quotation of QUOTE characters is
-found at any place of an item, whatever the windows above make of it.
-
-Frequent Q-grams are left out of the index window by window, and the window's
-bound falls by as many, so nothing is lost by it; those that would take the
-bound under LEAST stay.
-
-The index lies in the shared folder in blocks of BLOCK_CHARS benchmark
-characters, and a task reads one block at a time: the benchmark may grow without
+such span whole: first for whole items, which leaves few, then, in those, for
+each window. Regions that reach a window's bound are retained, and a region
+counts if a banded alignment finds the window in it within k edits. Items under
+EXACT characters have no edits: they count where they stand as they are.
+
+The index holds each place of an item once. It lies in the shared folder in
+blocks of BLOCK_CHARS benchmark characters; a task reads one block at a time and
+takes a whole Arrow batch of texts through it: the benchmark may grow without
 anything being broadcast. Documents are scanned whole, where they lie, without a
 shuffle.
 """
@@ -28,7 +25,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -36,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, by_bytes, new_folder, ragged
+from .common import SharedFiles, bounded_batches, by_bytes, new_folder, ragged
 
 Q = 8
 WINDOW = 128
 STEP = 64
 #: A verbatim quotation of so many characters is found wherever it begins.
 QUOTE = 60
+#: Fewest shared Q-grams that the bound of a window with edits asks for.
 LEAST = 8
-BLOCK_CHARS = 1 << 18
+#: Items under this length must stand in a text as they are.
+EXACT = 32
+BLOCK_CHARS = 1 << 20
 SLICE_BYTES = 1 << 18
 #: Shared Q-grams that are counted at a time.
 HITS = 1 << 17
@@ -85,72 +85,70 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _TABLE_BITS)
 
 
+def windows(length: int, rate: float) -> list[tuple[int, int, int]]:
+    """(start, size, edits) of the windows over an item of so many characters."""
+
+    def edits(size: int) -> int:
+        return 0 if length < EXACT else max(0, min(int(size * rate), (size + 1 - LEAST) // Q - 1))
+
+    out = set()
+    for width, step in ((WINDOW, STEP), (QUOTE, max(1, edits(QUOTE)))):
+        if width == QUOTE and length < QUOTE:
+            continue
+        if length < width + step and width == WINDOW:
+            out.add((0, length, edits(length)))
+        else:
+            out |= {(at, width, edits(width)) for at in (*range(0, length - width + 1, step), length - width)}
+    return sorted(out)
+
+
 @dataclass
 class Index:
-    """Windows of a block of items, and their Q-grams by hash."""
+    """A block of items: their characters one after another, the Q-grams there by hash, and the windows of each item."""
 
-    items: np.ndarray  # item of each window
-    codes: np.ndarray  # window characters, padded to one length
+    items: np.ndarray  # id of each item
+    codes: np.ndarray  # characters of all items
+    hashes: np.ndarray  # ascending, distinct
+    first: np.ndarray  # places of hashes[i] are places[first[i] : first[i + 1]]
+    places: np.ndarray  # in codes
+    item: np.ndarray  # number of the item that holds each of these places
+    own: np.ndarray  # windows of item i are own[i] .. own[i + 1] - 1
+    start: np.ndarray  # of each window, in codes
     size: np.ndarray
     edits: np.ndarray
-    bound: np.ndarray
-    hashes: np.ndarray  # ascending, distinct
-    first: np.ndarray  # postings of hashes[i] are first[i] .. first[i + 1] - 1
-    window: np.ndarray
-    place: np.ndarray
 
     def __post_init__(self) -> None:
         self.there = np.zeros(1 << _TABLE_BITS, bool)
         self.there[_slot(self.hashes)] = True
+        self.bound = self.size + 1 - Q * (self.edits + 1)
+        self.least = np.minimum.reduceat(self.bound, self.own[:-1]) if len(self.items) else self.bound
+        # bands of twice `stride` diagonals begin every `stride`, which is more than any budget
+        self.stride = int(self.edits.max(initial=0)) + 1
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], rate: float, shortest: int, width: int = WINDOW, step: int = STEP) -> Index:
-        cut: list[tuple[int, str]] = []
-        for item, text in items:
-            t = normal(text)
-            if len(t) < max(Q, shortest):
-                continue
-            if len(t) < width + step:
-                cut.append((item, t))
-            else:
-                starts = sorted({*range(0, len(t) - width + 1, step), len(t) - width})
-                cut += [(item, t[s : s + width]) for s in starts]
-        size = np.array([len(t) for _, t in cut], np.int64)
-        edits = np.minimum((size * rate).astype(np.int64), (size + 1 - LEAST) // Q - 1).clip(0)
-        codes = np.zeros((len(cut), width + step), np.uint32)
-        hashes, window, place = [], [], []
-        for w, (_, t) in enumerate(cut):
+    def of(cls, items: list[tuple[int, str]], rate: float) -> Index:
+        """Of the items of at least Q characters."""
+        texts = [(k, t) for k, t in ((k, normal(t)) for k, t in dict.fromkeys(items)) if len(t) >= Q]
+        codes, hashes, places, number, cut, own, at = [], [], [], [], [], [0], 0
+        for n, (_, t) in enumerate(texts):
             c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes[w, : len(c)] = c
             g = _grams(c)
+            codes.append(c)
             hashes.append(g)
-            window.append(np.full(len(g), w, np.int64))
-            place.append(np.arange(len(g)))
-        h, window, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (window, np.int64), (place, np.int64)))
-        bound = size + 1 - Q * (edits + 1)
-        distinct, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-        # the most frequent Q-grams of each window go, up to bound - LEAST of them
-        often = counts[inverse]
-        order = np.lexsort((-often, window))
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h)) - np.searchsorted(window, window[order])
-        gone = (rank < np.maximum(0, bound - LEAST)[window]) & (often > 2)
-        bound = bound - np.bincount(window[gone], minlength=len(cut))
-        h, window, place = h[~gone], window[~gone], place[~gone]
+            places.append(np.arange(at, at + len(g)))
+            number.append(np.full(len(g), n))
+            cut += [(at + s, size, e) for s, size, e in windows(len(c), rate)]
+            own.append(len(cut))
+            at += len(c)
+        codes, h, place, item = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((codes, np.uint32), (hashes, np.uint64), (places, np.int64), (number, np.int64)))
         order = np.argsort(h, kind="stable")
-        h, window, place = h[order], window[order], place[order]
-        distinct, first = np.unique(h, return_index=True)
-        return cls(np.array([i for i, _ in cut], np.int64), codes, size, edits, bound, distinct, np.append(first, len(h)), window, place)
-
-    @classmethod
-    def of_quotes(cls, items: list[tuple[int, str]], rate: float, shortest: int) -> Index:
-        """Windows of QUOTE characters; a quotation that lies between two of them lacks no more of one than its edits."""
-        step = max(1, min(int(QUOTE * rate), (QUOTE + 1 - LEAST) // Q - 1))
-        return cls.of(items, rate, max(shortest, QUOTE), QUOTE, step)
+        distinct, first = np.unique(h[order], return_index=True)
+        start, size, edits = np.array(cut, np.int64).reshape(-1, 3).T
+        return cls(np.array([k for k, _ in texts], np.int64), codes, distinct, np.append(first, len(h)), place[order], item[order], np.array(own), start, size, edits)
 
     def save(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{k: v for k, v in vars(self).items() if k != "there"})
+        np.savez(out, **{f.name: getattr(self, f.name) for f in fields(self)})
         return out.getvalue()
 
     @classmethod
@@ -161,12 +159,12 @@ class Index:
 
 def _least_edits(windows: np.ndarray, size: np.ndarray, texts: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     """Least edits of each window in its text where its place i lies at text places low + i + 0 .. width-1 (a band); texts holds those characters from low on."""
-    n, cells = len(windows), np.arange(width)
-    row = np.zeros((n, width), np.int64)  # an alignment may begin anywhere in the band
+    n, cells = len(windows), np.arange(width, dtype=np.int32)
+    row = np.zeros((n, width), np.int32)  # an alignment may begin anywhere in the band
     best = np.zeros(n, np.int64)
     for i in range(int(size.max())):
         away = texts[:, i : i + width] != windows[:, i : i + 1]
-        down = np.concatenate([row[:, 1:], np.full((n, 1), 1 << 20)], axis=1) + 1  # a window character without a partner
+        down = np.concatenate([row[:, 1:], np.full((n, 1), 1 << 20, np.int32)], axis=1) + 1  # a window character without a partner
         here = np.minimum(row + away, down)
         row = np.minimum.accumulate(here - cells, axis=1) + cells  # text characters without a partner
         ended = size == i + 1
@@ -175,57 +173,92 @@ def _least_edits(windows: np.ndarray, size: np.ndarray, texts: np.ndarray, low:
     return best
 
 
-def _summed(key: np.ndarray, text: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, text) with the sums of their counts."""
-    order = np.lexsort((text, key))
-    key, text, count = key[order], text[order], count[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(new)
-    return key[begin], text[begin], np.add.reduceat(count, begin)
+def _hits(index: Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the texts, place in the items, item) of the Q-grams at these places that both have, about HITS at a time: text that repeats itself may hit very often."""
+    at = at[index.there[_slot(h[at])]]
+    found = np.searchsorted(index.hashes, h[at])
+    found[found == len(index.hashes)] = 0
+    right = index.hashes[found] == h[at]
+    at, found = at[right], found[right]
+    many = index.first[found + 1] - index.first[found]
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1).tolist(), len(many)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        post = ragged(index.first[found[a:b]], many[a:b])
+        yield np.repeat(at[a:b], many[a:b]), index.places[post], index.item[post]
 
 
 def regions(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, window, first place of the band in the normalised text, edits) of every verified region."""
     none = np.empty(0, np.int64)
-    if not len(index.hashes):
+    if not len(index.hashes) or not texts:
         return none, none, none, none
-    # bands of twice `stride` diagonals begin every `stride`, which is more than any budget
-    stride = int(index.edits.max()) + 1
+    stride, many = index.stride, len(index.items)
     codes, starts = _codes(texts, max(Q, stride))
     h = _grams(codes)
-    at = np.flatnonzero(index.there[_slot(h)])
-    if not len(at):
+    shift = len(index.codes)
+    # keeps bands from going below 0
+    offset = shift // stride + 2
+
+    def keys(place: np.ndarray, other: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The number of (text, band, item) of each hit's upper band; its lower one is `many` less."""
+        band = (place - other) // stride + offset
+        text = np.searchsorted(starts, place, "right") - 1
+        return (text * (len(codes) // stride + offset + 2) + band) * many + item
+
+    counted: tuple[np.ndarray, np.ndarray] | None = None
+    for place, other, item in _hits(index, h, np.arange(len(h))):
+        key = keys(place, other, item)
+        some, n = np.unique(np.concatenate([key, key - many]), return_counts=True)
+        if counted is not None:
+            some, back = np.unique(np.concatenate([counted[0], some]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([counted[1], n]), len(some)).astype(np.int64)
+        counted = some, n
+    if counted is None:
         return none, none, none, none
-    found = np.searchsorted(index.hashes, h[at])
-    found[found == len(index.hashes)] = 0
-    right = index.hashes[found] == h[at]
-    at, found = at[right], found[right]
-    if not len(at):
+    kept = counted[0][counted[1] >= index.least[counted[0] % many]]
+    if not len(kept):
         return none, none, none, none
-    many = index.first[found + 1] - index.first[found]
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1).tolist(), len(many)]
-    counted = []
-    for a, b in zip(cuts, cuts[1:], strict=False):  # text that repeats itself may hit very often
-        post = ragged(index.first[found[a:b]], many[a:b])
-        window, place = index.window[post], np.repeat(at[a:b], many[a:b])
-        band = (place - index.place[post]) // stride
-        text = np.searchsorted(starts, place, "right") - 1
-        counted.append(_summed(np.concatenate([band, band - 1]) * len(index.items) + np.concatenate([window, window]), np.concatenate([text, text]), np.ones(2 * len(text), np.int64)))
-    key, text, count = _summed(*(np.concatenate(x) for x in zip(*counted, strict=True)))
-    window = key % len(index.items)
-    keep = count >= index.bound[window]
-    window, text, low = window[keep], text[keep], (key[keep] // len(index.items)) * stride
+
+    # the hits of the groups that are left, group by group, by place in the items
+    group, inside = [], []
+    some = np.unique(kept // many // (len(codes) // stride + offset + 2))
+    stops = np.append(starts[1:], len(h))
+    for place, other, item in _hits(index, h, ragged(starts[some], np.minimum(stops, len(h))[some] - starts[some])):
+        key = keys(place, other, item)
+        for k in (key, key - many):
+            at = np.searchsorted(kept, k)
+            at[at == len(kept)] = 0
+            own = kept[at] == k
+            group.append(at[own])
+            inside.append(other[own])
+    group, inside = np.concatenate(group), np.concatenate(inside)
+    line = np.sort(group * shift + inside)
+    item = kept % many
+    per = index.own[item + 1] - index.own[item]
+    window, which = ragged(index.own[item], per), np.repeat(np.arange(len(kept)), per)
+    low = which * shift + index.start[window]
+    count = np.searchsorted(line, low + index.size[window] - Q, "right") - np.searchsorted(line, low, "left")
+    good = count >= index.bound[window]
+    window, which = window[good], which[good]
     if not len(window):
         return none, none, none, none
-    width = 2 * stride
+
+    row = kept[which] // many
+    text, band = row // (len(codes) // stride + offset + 2), row % (len(codes) // stride + offset + 2)
+    low = (band - offset) * stride + index.start[window]  # where the window's first character lies at the earliest
+    order = np.argsort(index.size[window], kind="stable")
+    text, window, low = text[order], window[order], low[order]
+    width, longest = 2 * stride, int(index.size.max())
     edits = np.empty(len(window), np.int64)
-    padded = np.concatenate([np.full(width, _GAP, np.uint32), codes, np.full(index.codes.shape[1] + width, _GAP, np.uint32)])
+    lead = shift + 2 * width
+    padded = np.concatenate([np.full(lead, _GAP, np.uint32), codes, np.full(longest + 2 * width, _GAP, np.uint32)])
     for a in range(0, len(window), 4096):
         some = slice(a, a + 4096)
         size = index.size[window[some]]
-        chars = padded[(low[some] + width)[:, None] + np.arange(int(size.max()) + width)]
-        edits[some] = _least_edits(index.codes[window[some]], size, chars, low[some], width)
+        wide = int(size.max())
+        last = len(index.codes) - 1
+        chars = padded[np.clip((low[some] + lead)[:, None] + np.arange(wide + width), 0, len(padded) - 1)]
+        edits[some] = _least_edits(index.codes[np.minimum(index.start[window[some]][:, None] + np.arange(wide), last)], size, chars, low[some], width)
     good = edits <= index.edits[window]
     return text[good], window[good], (low - starts[text])[good], edits[good]
 
@@ -235,9 +268,9 @@ def _loaded(folder: str, name: str) -> Index:
     return Index.load(SharedFiles(folder).read(name))
 
 
-def write_index(benchmark: DataFrame, rate: float, shortest: int, item_col: str = "item_id", text_col: str = "text") -> tuple[str, list[str]]:
-    """Writes the index in blocks of about BLOCK_CHARS characters to the shared folder; returns it and the names of their files, two a block."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
+def write_index(benchmark: DataFrame, rate: float, item_col: str = "item_id", text_col: str = "text") -> tuple[str, list[str]]:
+    """Writes the index in blocks of about BLOCK_CHARS characters to the shared folder; returns it and the names of their files."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = max(1, -(-total // BLOCK_CHARS))
     folder = new_folder(benchmark.sparkSession, "benchmark")
@@ -245,46 +278,48 @@ def write_index(benchmark: DataFrame, rate: float, shortest: int, item_col: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, some in zip(batch.column("block").to_pylist(), batch.column("some").to_pylist(), strict=True):
-                names, own = [f"block-{block:06d}-{kind}.npz" for kind in ("windows", "quotes")], sorted((x["item"], x["text"]) for x in some)
-                for name, make in zip(names, (Index.of, Index.of_quotes), strict=True):
-                    SharedFiles(folder).write(name, [make(own, rate, shortest).save()])
-                yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+                name = f"block-{block:06d}.npz"
+                SharedFiles(folder).write(name, [Index.of(sorted((x["item"], x["text"]) for x in some), rate).save()])
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
-    blocks = items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct("item", "text")).alias("some"))  # BLOCK_CHARS each
+    blocks = items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct("item", "text")).alias("some"))  # about BLOCK_CHARS each, as items are distinct
     return folder, sorted(r["name"] for r in blocks.mapInArrow(write, "name string").collect())
 
 
-def _scan(rows: DataFrame, benchmark: DataFrame, rate: float, shortest: int, column: str, schema, give) -> DataFrame:
-    """Rows that give(batch, items, windows, fewest) makes of each slice of rows with what was found in its texts."""
-    folder, names = write_index(benchmark, rate, shortest)
+def _scan(rows: DataFrame, benchmark: DataFrame, rate: float, column: str, schema, give) -> DataFrame:
+    """Rows that give(batch, items, windows, fewest) makes of each batch of rows with what was found in its texts."""
+    bounded_batches(rows.sparkSession)
+    folder, names = write_index(benchmark, rate)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in by_bytes(batch, column, SLICE_BYTES):
-                texts = [normal(t) for t in some.column(column).to_pylist()]
-                items: list[set[int]] = [set() for _ in texts]
-                windows: list[set[tuple[str, int]]] = [set() for _ in texts]
-                fewest: list[int | None] = [None] * len(texts)
-                for name in names:
-                    index = _loaded(folder, name)
-                    text, window, _, edits = regions(index, texts)
-                    for t, w, i, e in zip(text.tolist(), window.tolist(), index.items[window].tolist(), edits.tolist(), strict=True):
+            items: list[set[int]] = [set() for _ in range(len(batch))]
+            windows: list[set[tuple[str, int]]] = [set() for _ in range(len(batch))]
+            fewest: list[int | None] = [None] * len(batch)
+            for name in names:
+                index, begin = _loaded(folder, name), 0
+                for some in by_bytes(batch, column, SLICE_BYTES):
+                    text, window, _, edits = regions(index, [normal(t) for t in some.column(column).to_pylist()])
+                    which = np.searchsorted(index.own, window, "right") - 1
+                    for t, w, i, e in zip((text + begin).tolist(), window.tolist(), index.items[which].tolist(), edits.tolist(), strict=True):
                         items[t].add(i)
                         windows[t].add((name, w))
                         fewest[t] = e if fewest[t] is None else min(e, fewest[t])
-                yield give(some, items, windows, fewest)
+                    begin += len(some)
+            yield give(batch, items, windows, fewest)
 
     return rows.mapInArrow(scan, schema)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, contaminated, items, n_windows, fewest_edits) of each row.
 
     items: ids of the benchmark items found, ascending; n_windows: distinct
-    windows found, of both lengths; fewest_edits: least edits of these, null if none. Null and empty
-    texts hold nothing; repeated rows are tested each; items with a null id or
-    text, or of fewer than `shortest` characters (too short to tell a quotation
-    from chance), are left out; an empty benchmark finds nothing.
+    windows found, of all kinds; fewest_edits: least edits of these, null if
+    none. Null and empty texts hold nothing; repeated rows are tested each; items
+    with a null id or text, or of fewer than Q characters (which have no Q-gram),
+    are left out; items of fewer than EXACT characters count where they stand as
+    they are; repeated items count once; an empty benchmark finds nothing.
     """
 
     def give(some, items, windows, fewest) -> pa.RecordBatch:
@@ -292,13 +327,13 @@ def contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, short
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, contaminated boolean, items array<long>, n_windows long, fewest_edits long"
-    return _scan(rows, benchmark, rate, shortest, "text", schema, give).withColumnRenamed("id", id_col)
+    return _scan(rows, benchmark, rate, "text", schema, give).withColumnRenamed("id", id_col)
 
 
-def clean_rows(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 32, text_col: str = "text") -> DataFrame:
+def clean_rows(df: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text") -> DataFrame:
     """The rows of df in which nothing of the benchmark is found, with all columns; cases as in contamination()."""
 
     def give(some, items, windows, fewest) -> pa.RecordBatch:
         return some.filter(pa.array([not x for x in items], pa.bool_()))
 
-    return _scan(df, benchmark, rate, shortest, text_col, df.schema, give)
+    return _scan(df, benchmark, rate, text_col, df.schema, give)
