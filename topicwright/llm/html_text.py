@@ -7,12 +7,24 @@ falls into blocks at the borders of block elements. Each block knows whether it
 lies in an element that never holds article text (by tag, role, class or id),
 whether in an article or main element, and how much of it is link text.
 
-If the page marks articles, their blocks are the text, those of several in page
-order: nothing in them is dropped but those elements, articles in an article and
-articles marked as comments (unless the page has no other text). Otherwise pass 1 decides blocks by length, link
-density and share of stop words (good, bad, or undecided: short, or near the
-border); pass 2 gives undecided blocks the label of their nearest decided
-neighbours (good if those on both sides are, or near-good ones on either side).
+Every page goes through both passes; whether a block lies in a marked article is
+one of the features of the first. Pass 1 decides blocks by length, link density
+and share of stop words. Outside of articles a block is good, bad or undecided
+(short, or near the border). In an article a block is good if it is long, or not
+short and has stop words enough, and else undecided, never bad. On a
+page that marks an article, what lies outside is bad but for long blocks full of
+stop words, which are undecided. Pass 2 gives undecided blocks the label of their
+nearest decided neighbours. In an article these are its own; one without any
+decided block is a teaser if it has links and another article is decided, and
+then goes by the blocks on both sides of it, else its blocks are good. Outside,
+the blocks on both sides must be good, or near-good ones on either side. So
+articles split over several elements come whole, in page order. An article in an
+article, or one marked as a comment, is left out (comments unless the page has no
+other text).
+
+Elements that never hold article text are left out by tag, role and hiding
+attributes, and by words of class and id: in an article only containers, and
+only names made of such words and neutral ones.
 
 Defined results: null or empty html gives an empty text; markup that ends in the
 middle ends there; repeated rows give a row each.
@@ -22,6 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import bounded_batches, by_bytes
 
 SLICE_BYTES = 8 << 20
 
@@ -55,6 +68,10 @@ MARKS = frozenset(
 )
 #: Words of class and id names of articles that are readers' comments.
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that say nothing of what an element holds, beside those of MARKS.
+NEUTRAL = frozenset("article post entry page site main content body box bar block list links link section wrapper wrap container inner outer area item items group row col column button buttons icon icons top bottom left right primary secondary mobile desktop print js the and slot unit panel title heading message".split())
+#: Elements that hold others, not a passage of text.
+CONTAINERS = frozenset("div section ul ol dl table details center fieldset hgroup address".split())
 #: An open element that a start tag of the key's kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements at which the search for an open element stops.
@@ -73,11 +90,12 @@ STOP_WORDS = frozenset(
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # comment
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)|[^>])*+)(?:>|\Z)"
     r"|</[^a-zA-Z][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'=<>`]+))|(?<![^\s/])(hidden)(?![^\s/])""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>][^\s>]*))|(?<![^\s/])(hidden)(?![^\s/])""", re.I)
+_ARTICLE = re.compile(r"<article(?=[\s/>])", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -103,6 +121,7 @@ class _Open:
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    opened: Counter[str] = field(default_factory=Counter)
     text: list[str] = field(default_factory=list)
     link: int = 0
     link_from: int | None = None
@@ -120,27 +139,44 @@ class _Reader:
             self.text = []
         self.link = 0
 
+    def push(self, made: _Open) -> None:
+        self.stack.append(made)
+        self.opened[made.name] += 1
+
     def close(self, names: set[str] | frozenset[str], until: frozenset[str] = frozenset()) -> None:
+        """Ends the innermost open element of these names and all in it, if no element of `until` is in between."""
+        if not any(self.opened[name] for name in names):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].name in names:
+                self.opened.subtract(x.name for x in self.stack[k:])
                 del self.stack[k:]
                 return
             if self.stack[k].name in until:
                 return
 
 
-def _marks(attributes: str, marks: frozenset[str] = MARKS) -> bool:
-    """Whether role, class, id or a hiding attribute says that the element holds no article text."""
-    for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        key = (key or hidden).lower()
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values; the first of several of one name counts."""
+    found: dict[str, str] = {}
+    for key, a, b, c, hidden in _ATTRIBUTE.findall(text):
+        found.setdefault((key or hidden).lower(), a or b or c)
+    return found
+
+
+def _hidden(own: dict[str, str]) -> bool:
+    """Whether role or a hiding attribute says that the element holds no article text."""
+    return own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I))
+
+
+def _marks(own: dict[str, str], marks: frozenset[str], only: bool = False) -> bool:
+    """Whether a name in class or id has a word of marks; only: and else no words but neutral ones."""
+    for name in (own.get("class", "") + " " + own.get("id", "")).split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if {"has", "no", "with", "without"} & set(parts[:1]) or not marks & set(parts):
+            continue
+        if not only or all(p in marks or p in NEUTRAL or p.isdigit() for p in parts):
             return True
-        if key in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _PARTS.findall(word)]
-                if not ({"has", "no", "with", "without"} & set(parts[:1])) and marks & set(parts):
-                    return True
     return False
 
 
@@ -148,6 +184,7 @@ def blocks(source: str) -> list[Block]:
     """Blocks of a page in page order, without those in elements that never hold article text."""
     r = _Reader()
     at, n = 0, len(source)
+    last_article = max((m.start() for m in _ARTICLE.finditer(source)), default=-1)
     while at < n:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
@@ -196,15 +233,17 @@ def blocks(source: str) -> list[Block]:
             top = r.stack[-1] if r.stack else _Open("", False, 0)
             outside, article = top.outside, top.article
             if name not in ("html", "body"):
-                marked = name in OUTSIDE or bool(m["attributes"].strip()) and _marks(m["attributes"], frozenset() if name in ("article", "main") else MARKS)
+                own = _attributes(m["attributes"]) if m["attributes"].strip() else {}
+                marked = name in OUTSIDE or _hidden(own)
+                if name not in ("article", "main"):
+                    marked = marked or (name in CONTAINERS and _marks(own, MARKS, only=True) if article else _marks(own, MARKS))
                 outside = outside or marked
                 if article and name == "article":
                     outside = True  # an article in an article is a comment or a teaser
-                if not outside and not article and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m["attributes"], re.I)):
-                    if name == "article" or "<article" not in source[at:].lower():
-                        r.articles += 1
-                        article = -r.articles if name == "article" and _marks(m["attributes"], COMMENTS) else r.articles
-            r.stack.append(_Open(name, outside, article, top.header or name == "header"))
+                if not outside and not article and (name == "article" or (name == "main" or own.get("role", "").lower() == "main") and at > last_article):
+                    r.articles += 1
+                    article = -r.articles if name == "article" and _marks(own, COMMENTS) else r.articles
+            r.push(_Open(name, outside, article, top.header or name == "header"))
     r.flush()
     return r.blocks
 
@@ -220,45 +259,62 @@ class Rules:
     stops_high: float = 0.32
 
 
-def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
-    """Sets each block's label to good or bad."""
-    for b in found:
-        words = _WORDS.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.link_chars > rules.links * len(b.text) or re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
-            b.label = "bad"
-        elif len(b.text) < rules.short:
-            b.label = "bad" if b.link_chars else "short"
-        elif stops >= rules.stops_high:
-            b.label = "good" if len(b.text) > rules.long else "near"
-        else:
-            b.label = "near" if stops >= rules.stops_low else "bad"
-    first = [b.label for b in found]
-
-    def beside(k: int, step: int, near: bool) -> str:
-        k += step
-        while 0 <= k < len(first):
-            if first[k] in ("good", "bad") or near and first[k] == "near":
-                return first[k]
-            k += step
+def _first(b: Block, rules: Rules, marked: bool) -> str:
+    """Label of a block by itself: good, bad, near (near the border) or short; marked: the page marks an article."""
+    words = _WORDS.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    linked = b.link_chars > rules.links * len(b.text)
+    if b.article > 0:
+        return "short" if linked or len(b.text) < rules.short or len(b.text) <= rules.long and stops < rules.stops_low else "good"
+    if b.article < 0 or linked or re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
         return "bad"
+    if marked:
+        return "near" if len(b.text) > rules.long and stops >= rules.stops_high else "bad"
+    if len(b.text) < rules.short:
+        return "bad" if b.link_chars else "short"
+    if stops >= rules.stops_high:
+        return "good" if len(b.text) > rules.long else "near"
+    return "near" if stops >= rules.stops_low else "bad"
+
+
+def _sides(first: list[str], accepted: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """For each block the nearest label of the accepted ones before and after it; bad at the page's ends."""
+    out = []
+    for order in (range(len(first)), reversed(range(len(first)))):
+        near, seen = ["bad"] * len(first), "bad"
+        for k in order:
+            near[k] = seen
+            if first[k] in accepted:
+                seen = first[k]
+        out.append(near)
+    return out[0], out[1]
 
+
+def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
+    """Sets each block's label to good or bad."""
+    marked = any(b.article > 0 for b in found)
+    first = [_first(b, rules, marked) for b in found]
+    before, after = _sides(first, ("good", "bad"))
+    before_near, after_near = _sides(first, ("good", "bad", "near"))
+    decided = {b.article for b, label in zip(found, first, strict=True) if b.article > 0 and label == "good"}
+    linked = {b.article for b in found if b.link_chars}
     for k, b in enumerate(found):
-        if first[k] == "near":
-            b.label = "good" if "good" in (beside(k, -1, False), beside(k, 1, False)) else "bad"
+        b.label = first[k]
+        if b.article > 0:
+            teaser = b.article not in decided and decided and b.article in linked
+            b.label = "good" if not teaser or before[k] == after[k] == "good" else "bad"
+        elif first[k] == "near":
+            sides = {before[k], after[k]}
+            b.label = "good" if sides == {"good"} or not marked and "good" in sides else "bad"
         elif first[k] == "short":
-            sides = {beside(k, -1, True), beside(k, 1, True)}
-            if b.heading:
-                sides = {beside(k, 1, True)}
+            sides = {after_near[k]} if b.heading else {before_near[k], after_near[k]}
             b.label = "good" if sides <= {"good"} or "near" in sides and ("good" in sides or sides == {"near"}) else "bad"
     return found
 
 
 def main_text(source: str | None, rules: Rules = Rules()) -> str:
-    found = blocks(source or "")
-    own = [b for b in found if b.article > 0]
-    if not own:
-        own = [b for b in classify([b for b in found if not b.article], rules) if b.label == "good"] or [b for b in found if b.article]
+    found = classify(blocks(source or ""), rules)
+    own = [b for b in found if b.label == "good"] or [b for b in found if b.article]
     return "\n\n".join(b.text for b in own)
 
 
@@ -271,5 +327,6 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [main_text(x, rules) for x in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(extract, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
