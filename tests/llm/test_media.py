@@ -93,9 +93,9 @@ def test_archives(spark):
         revisit = len(data) >= 1000 and page is not None and page < max(same)
         want.append((repr(page), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
     assert got == sorted(want, key=lambda x: x[:1]) or got == sorted(want)
-    ordered = sorted(rows, key=lambda r: (r.range_id, r.position))
+    ordered = sorted(rows, key=lambda r: r.index_place)
     keys = [(r.url_key, r.captured) for r in ordered]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and [r.index_place for r in ordered] == list(range(len(PAGES)))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
@@ -110,6 +110,35 @@ def test_merge_over_ranges(spark):
     assert keys == sorted(keys)
 
 
+def test_many_runs_with_a_bounded_fan_in(spark, monkeypatch):
+    """2,000 runs, 16 at a time: no merge reads more streams, and the order is that of one sort."""
+    import random
+
+    r = random.Random(1)
+    folder = warc.new_folder(spark, "runs")
+    files, blocks, everything = warc.SharedFiles(folder), [], []
+    for k in range(2000):
+        lines = sorted(([f"key{r.randrange(300):04d}", f"{r.randrange(50):014d}", 5 * k + j, f"f{k}", j, 1, "response", "d"] for j in range(5)), key=warc._sort_key)
+        blocks += warc.write_run(files, f"r{k:05d}.run", f"r{k:05d}.run", f"f{k}", lines)
+        everything += lines
+    runs = spark.createDataFrame(blocks, warc.BLOCKS)
+    made = warc.longer_runs(runs, folder, 16)
+    assert made.select("run").distinct().count() == 125 and made.agg({"n_lines": "sum"}).first()[0] == 10_000
+    monkeypatch.setattr(warc, "LoserTree", counted(warc.LoserTree, 16))
+    monkeypatch.setattr(warc, "RANGE_LINES", 30)
+    rows = warc.merge_index(runs, folder, lines_per_range=500, fan_in=16).collect()
+    ordered = [(x.url_key, x.captured, x.id) for x in sorted(rows, key=lambda x: (x.range_id, x.position))]
+    assert ordered == sorted((a, b, c) for a, b, c, *_ in everything) and len({x.range_id for x in rows}) > 5
+
+
+def counted(tree, most):
+    def make(streams):
+        assert len(streams) <= most
+        return tree(streams)
+
+    return make
+
+
 def test_damaged_archive():
     data = warc.record("response", 1, "u", b"body", "d", None) + warc.record("revisit", 2, "u\r\nX: y", b"", "d", 1)
     found = list(warc.records(data))

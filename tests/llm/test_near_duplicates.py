@@ -114,7 +114,7 @@ def test_many_short_texts_in_a_batch(spark):
 def test_hot_keys(spark):
     many = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
     one = many.groupBy("k").agg(join.F.count("*").alias("n")).withColumn("x", join.F.col("k") * 2)
-    got = join._join_hot(many, one, "k", "n")
+    got = join.join_hot(many, one, "k", "n")
     assert got.count() == 5000 and got.filter("x = 2 * k").count() == 5000 and got.columns == ["k", "id", "x"]
 
 

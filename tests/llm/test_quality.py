@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from topicwright.llm import common
 from topicwright.llm import kneser_ney as kn
 
 
@@ -118,13 +119,13 @@ def test_splits_make_no_difference(spark, monkeypatch):
         assert model.accepted().count() == sum(fine for _, _, fine in whole)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    monkeypatch.setattr(kn, "GROUP_ROWS", 100)
-    monkeypatch.setattr(kn, "SHORT", 2000)
+    monkeypatch.setattr(common, "GROUP_ROWS", 100)
+    monkeypatch.setattr(common, "SHORT", 2000)
     monkeypatch.setattr(kn, "KEPT", 1000)
     assert verdicts(docs, labels) == whole
     assert verdicts(docs.repartition(8), labels) == whole
     assert verdicts(spark.createDataFrame(docs.collect(), docs.schema).withColumnRenamed("source", "__split").withColumnRenamed("n_chars", "group").withColumn("ROW", kn.F.lit(1)), labels) == whole
-    assert len({r[0] for r in kn.located(docs.repartition(8), "text")[0].select("group").distinct().collect()}) >= 8
+    assert len({r[0] for r in common.located(docs.repartition(8), "text")[0].select("group").distinct().collect()}) >= 8
 
 
 def test_a_missing_score_file_is_an_error(spark, monkeypatch):

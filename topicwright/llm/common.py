@@ -14,8 +14,15 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a file in a group, for texts of up to SHORT bytes; a sixteenth for each sixteenfold size.
+GROUP_ROWS = 1 << 15
+SHORT = 1 << 15
+#: A key that has more than one of so many rows is joined by broadcast; so there are fewer such keys than this.
+HOT = 1000
 #: Folders of the tables that materialise() has made.
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -80,6 +87,50 @@ def free_names(wanted: tuple[str, ...], taken: list[str]) -> list[str]:
     return out
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is files as they are read, but for filters and columns that always come out the same."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def located(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
+    """df, or a copy of it in the shared folder, with two columns more, and their names: a row's group and its place in its file.
+
+    A group is rows of one file that stand in one block of GROUP_ROWS rows and
+    are of one size class (longer texts go in smaller blocks, so a group holds at
+    most GROUP_ROWS * SHORT bytes of text or a single text). It is what the rows
+    say of themselves, whatever splits they are read in. A table that is no plain
+    scan of Parquet files is written to the shared folder first.
+    """
+    try:
+        source = df if _plain_scan(df) and df.select(df.metadataColumn("_metadata")["row_index"]).columns else None
+    except AnalysisException:  # files of another kind
+        source = None
+    if source is None:
+        source = materialise(df, "documents")
+    group, row = free_names(("group", "row"), df.columns)
+    at = source.metadataColumn("_metadata")
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
+    shift, rows = F.lit(0), F.lit(GROUP_ROWS).cast("long")
+    for k in range(1, 5):
+        longer = size > SHORT << 4 * (k - 1)
+        shift, rows = F.when(longer, k).otherwise(shift), F.when(longer, max(1, GROUP_ROWS >> 4 * k)).otherwise(rows)
+    block = F.floor(at["row_index"] / rows).cast("long")
+    return source.withColumns({group: F.xxhash64(at["file_path"], block, shift), row: at["row_index"]}), group, row
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """many joined to one, whose column `count` has the rows of many with its key: keys of more than a share of 1 / HOT, fewer than HOT, by broadcast, all others by shuffle."""
+    total = many.count()
+    hot = one.filter(F.col(count) * HOT > total).drop(count)  # fewer than HOT rows
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(count) * HOT <= total).drop(count), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 class SharedFiles:
     """Plain files in a shared folder, for use inside tasks; file: by the mount, other schemes by pyarrow's file systems."""
 

@@ -18,12 +18,9 @@ where they lie, adds them up. So no text is shuffled, no table of n-grams is
 broadcast or collected, and what is gathered grows with the corpus; only the
 names and thresholds of the bounded sample's languages reach the driver.
 
-Groups are what a row says of itself: its file, its place in the file in blocks
-of GROUP_ROWS rows, and its size class (longer texts go in smaller blocks, so a
-group holds at most GROUP_ROWS * SHORT bytes of text or a single text). They
-don't depend on file splits, cores or executors. A table that is no plain scan
-of Parquet files is written to the shared folder first and read from there. A
-score file or a score that isn't there is an error, never a verdict.
+Groups are what a row says of itself (see common.located): they don't depend on
+file splits, cores or executors. A score file or a score that isn't there is an
+error, never a verdict.
 
 A document is rejected if its perplexity is over `margin` times the quantile, in
 its language, of all trusted documents outside the training sample. Quantiles
@@ -45,11 +42,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, bounded_batches, by_bytes, discard, free_names, materialise, new_folder
+from .common import SharedFiles, bounded_batches, by_bytes, discard, located, materialise, new_folder
 
 ORDER = 4
 #: N-grams that a task keeps before it gives them out.
@@ -58,9 +54,6 @@ SLICE_BYTES = 1 << 20
 START = 2
 #: One of so many trusted ids is never trained on.
 HELD_OUT = 5
-#: Rows of a file in a group, for texts of up to SHORT bytes; a sixteenth for each sixteenfold size.
-GROUP_ROWS = 1 << 15
-SHORT = 1 << 15
 #: Bins of a unit of log perplexity in the thresholds' histograms.
 BINS = 1000
 _MASK = {k: (1 << 16 * k) - 1 for k in range(1, ORDER)}
@@ -98,35 +91,6 @@ def sample_ids(ids: DataFrame, most: int) -> np.ndarray:
     return np.array(sorted(r["id"] for r in mine.orderBy(F.xxhash64("id"), "id").limit(most).collect()), np.int64)
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    """Whether df is files as they are read, but for filters and columns that always come out the same."""
-    plan = df._jdf.queryExecution().analyzed()
-    if not plan.deterministic():
-        return False
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
-        plan = plan.children().apply(0)
-    return plan.getClass().getSimpleName() == "LogicalRelation"
-
-
-def located(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
-    """df, or a copy of it in the shared folder, with two columns more, and their names: a row's group and its place in its file."""
-    try:
-        source = df if _plain_scan(df) and df.select(df.metadataColumn("_metadata")["row_index"]).columns else None
-    except AnalysisException:  # files of another kind
-        source = None
-    if source is None:
-        source = materialise(df, "documents")
-    group, row = free_names(("group", "row"), df.columns)
-    at = source.metadataColumn("_metadata")
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
-    shift, rows = F.lit(0), F.lit(GROUP_ROWS).cast("long")
-    for k in range(1, 5):
-        longer = size > SHORT << 4 * (k - 1)
-        shift, rows = F.when(longer, k).otherwise(shift), F.when(longer, max(1, GROUP_ROWS >> 4 * k)).otherwise(rows)
-    block = F.floor(at["row_index"] / rows).cast("long")
-    return source.withColumns({group: F.xxhash64(at["file_path"], block, shift), row: at["row_index"]}), group, row
-
-
 def _is_in(ids: pa.Array, trusted: np.ndarray) -> np.ndarray:
     values = ids.fill_null(0).to_numpy()
     at = np.minimum(np.searchsorted(trusted, values), max(0, len(trusted) - 1))

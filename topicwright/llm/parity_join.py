@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, discard, materialise, ragged, shuffle_parts
+from .common import bounded_batches, by_bytes, discard, join_hot, materialise, ragged, shuffle_parts
 from .components import components
 from .shingles import SLICE_BYTES, mix, shingle_sets
 
@@ -65,8 +65,6 @@ BROADCAST_ROWS = 500_000
 MOST_BITS = 8192
 #: Texts in a slice, so that twice their number fits in the 16 bits of a packed block's owner.
 SLICE_TEXTS = 1 << 15
-#: A key that has more than one of so many rows is joined by broadcast; so there are fewer such keys than this.
-HOT = 1000
 PART_ROWS = "kind int, part int, id long, text_key long, n long, gid long, class binary, bits binary, slack0 int, slack1 int, blocks binary, members array<long>"
 
 
@@ -306,14 +304,6 @@ def _rarest(docs: DataFrame, poor: DataFrame, bands: Bands) -> tuple[DataFrame,
     return *prefixes, sets.select(F.col("gid").alias("v"), "bits")
 
 
-def _join_hot(many: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
-    """many joined to one, whose column `count` has the rows of many with its key: keys of more than a share of 1 / HOT, fewer than HOT, by broadcast, all others by shuffle."""
-    total = many.count()
-    hot = one.filter(F.col(count) * HOT > total).drop(count)  # fewer than HOT rows
-    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(count) * HOT <= total).drop(count), key)
-    return many.join(F.broadcast(hot), key).unionByName(rest)
-
-
 def _classified(df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, n, c, component) of each row: xxhash64 of its text, size of its set, a number for its component (null without words) and the component's least id."""
     spark = df.sparkSession
@@ -327,7 +317,7 @@ def _classified(df: DataFrame, percent: int, id_col: str, text_col: str) -> Data
     # a vertex for each class: the least gid that any slice gave it
     firsts = rows.filter("bits is not null").drop("text_key")
     heads = materialise(firsts.groupBy("class").agg(F.min("own").alias("gid"), F.count("*").alias("slices")), "heads")
-    vertices = _join_hot(firsts, heads, "class", "slices").withColumn("bits", F.when(F.col("own") == F.col("gid"), F.col("bits")))
+    vertices = join_hot(firsts, heads, "class", "slices").withColumn("bits", F.when(F.col("own") == F.col("gid"), F.col("bits")))
     vertices = materialise(vertices, "vertices")
     to = vertices.select(F.col("own").alias("m"), F.col("gid").alias("v"))
     vertex = vertices.filter("own = gid").drop("own")
@@ -390,9 +380,9 @@ def _classified(df: DataFrame, percent: int, id_col: str, text_col: str) -> Data
     by_vertex = least.join(to, "m").groupBy("v").agg(F.min("least").alias("least"))
     by_vertex = materialise(by_vertex.join(label, "v", "left").select("v", F.coalesce("c", "v").alias("c"), "least"), "classes")
     groups = materialise(by_vertex.groupBy("c").agg(F.min("least").alias("component"), F.count("*").alias("size")), "groups")
-    answer = _join_hot(by_vertex, groups, "c", "size").select("v", "c", "component").join(heads.select(F.col("gid").alias("v"), "slices"), "v")
+    answer = join_hot(by_vertex, groups, "c", "size").select("v", "c", "component").join(heads.select(F.col("gid").alias("v"), "slices"), "v")
     answer = materialise(answer, "answer")
-    told = materialise(_join_hot(to, answer, "v", "slices").select(F.col("m").alias("own"), "c", "component"), "told")
+    told = materialise(join_hot(to, answer, "v", "slices").select(F.col("m").alias("own"), "c", "component"), "told")
     discard(vertices, heads, by_vertex, groups, answer, label)
     worded = rows.filter("n > 0").select("id", "text_key", "n", "own").join(told, "own").select("id", "text_key", "n", "c", "component")
     return worded.union(rows.filter("n = 0").select("id", "text_key", "n", F.lit(None).cast("long"), "id"))
@@ -421,7 +411,7 @@ def keep_one(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col:
     """
     found = materialise(_classified(df, percent, id_col, text_col).filter("n > 0").select("id", "text_key", "c"), "components")
     least = found.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("key"))).alias("best"), F.count("*").alias("size"))
-    placed = _join_hot(found, materialise(least, "survivors"), "c", "size")
+    placed = join_hot(found, materialise(least, "survivors"), "c", "size")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.key"))
     key = [F.col("id").alias("__id"), F.col("text_key").alias("__key")]
     counted = materialise(placed.groupBy(*key, stays.alias("stays")).agg(F.count("*").alias("n")).filter("not stays or n > 1"), "decided")

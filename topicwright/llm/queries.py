@@ -33,8 +33,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the archives read back, in the merged index (its own columns stay in the operator, so that SQL can tell the rest)."""
-    return archive_round_trip(table_parts(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Rows of the archives read back, with their places in the merged index."""
+    return archive_round_trip(table_parts(spark, sf_dir, "pages"))
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-WARC_SQL = """
-with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as size from pages),
+WARC_SQL = r"""
+with p as (select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as size from pages),
 kept as (select digest, max(page_id) as keep from p where size >= 1000 group by digest),
-placed as (select p.*, case when size >= 1000 and p.page_id < keep then keep end as refers_to from p left join kept using (digest))
-select page_id, size as payload_bytes, digest as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from placed
+placed as (select p.*, case when size >= 1000 and p.page_id < keep then keep end as refers_to from p left join kept using (digest)),
+parts as (
+  select *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[0-9]*\.', '') as host,
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as query from placed),
+keyed as (
+  select *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || case when path = '' then '/' else path end
+    || case when query = '' then '' else '?' || array_to_string(list_sort(string_split(query, '&')), '&') end as url_key,
+    strftime(timestamp '2020-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') as captured from parts)
+select page_id, size as payload_bytes, digest as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+  url_key, captured, row_number() over (order by url_key, captured, page_id) - 1 as index_place from keyed
 """
 
 JACCARD_SQL = r"""

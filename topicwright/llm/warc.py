@@ -2,15 +2,19 @@
 
 Writing. Of captures with equal payloads of at least `revisit_from` bytes the
 one with the largest id is the response; the others become revisits of it. Which
-they are is found on (id, digest, size) alone, so html is not gathered by
-digest. Each task then writes archive files (one gzip member a record, about
-FILE_BYTES of payload each) and, beside each, a run: the records' index lines
-sorted by URL key, timestamp and id, in blocks of RUN_BLOCK lines.
-
-Index. Key ranges are cut from the first keys of all runs' blocks (one row a
-block), balanced by lines. A merge task holds one range: it reads the blocks of
-each run that reach into it and merges the runs by a loser tree, one block of a
-run in memory at a time. Ranges in order, and rows in a range, give the capture
+they are is found on (place, id, digest, size) alone; each group of rows (see
+common.located) has its revisits in a file, which the pass that writes reads, so
+no html is shuffled. Each task writes archive files (one gzip member a record,
+about FILE_BYTES of payload each) and, beside each, a run: the records' index
+lines sorted by URL key, timestamp and id, in blocks of RUN_BLOCK lines.
+
+Index. While there are more than `fan_in` runs, each `fan_in` of them are merged
+into one longer run; what is left is merged into ranges of the whole index. A
+merge task has one range of keys of one set of runs: it reads the blocks of each
+run that reach into it and merges the runs by a loser tree, one block of a run
+in memory at a time. Ranges are cut at quantiles of a bounded sample of the
+blocks' first keys (SAMPLE of them, those with the smallest hash; only their
+balance depends on it). Ranges in order, and rows in a range, give the capture
 histories of the whole archive in global order.
 
 Reading back goes file by file. Files are written under a temporary name and
@@ -28,10 +32,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -40,14 +47,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, by_bytes, materialise, new_folder, shuffle_parts
+from .common import SharedFiles, bounded_batches, by_bytes, discard, join_hot, located, materialise, new_folder, shuffle_parts
 
-FILE_BYTES = 16 << 20
+FILE_BYTES = 64 << 20
+SLICE_BYTES = 4 << 20
 RUN_BLOCK = 256
+#: Runs that a merge task reads at a time.
+FAN_IN = 256
+#: Lines that a task merges into a longer run, about.
+RANGE_LINES = 500_000
+#: Blocks whose first keys cut the ranges.
+SAMPLE = 50_000
 _EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
 
-
 def url_key(url: str | None) -> str:
     """Sort-friendly form of a URL: host parts reversed, then path and query; without scheme, user, default port, fragment, leading www., and case in the host."""
     try:
@@ -163,106 +176,169 @@ class LoserTree:
             self._play(self.winner)
 
 
-BLOCKS = "file string, run string, first_key string, last_key string, n_lines long, start long, size long"
+BLOCKS = "file string, run string, piece string, first_key string, last_key string, n_lines long, start long, size long"
 INDEX = "range_id long, position long, url_key string, captured string, id long, file string, start long, size long, record_type string, payload_digest string"
 
 
+def _types(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    parts = [x.split() for x in schema.split(", ")]
+    return [n for n, _ in parts], [pa.string() if t == "string" else pa.int64() for _, t in parts]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = _types(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def _sort_key(line: list) -> str:
     """Text that sorts as (URL key, timestamp, id): parts joined by a byte that sorts first, ids by their order."""
     return f"{line[0]}\x00{line[1]}\x00{'' if line[2] is None else f'{line[2] + (1 << 63):020d}'}"
 
 
-def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000) -> DataFrame:
-    """Writes archives and their runs into folder; returns a row for each block of a run."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    slim = rows.select("id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= revisit_from)
-    kept = slim.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = slim.join(kept, "digest").filter("id < keep").select("id", "digest", "keep").distinct()
-    marked = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(revisits, ["id", "digest"], "left")
+def write_run(files: SharedFiles, piece: str, run: str, file: str | None, lines: Iterator[list]) -> list[tuple]:
+    """Writes sorted lines as blocks of RUN_BLOCK; returns a row of BLOCKS for each."""
+    packed, made, begin, lines = [], [], 0, iter(lines)
+    while cut := list(islice(lines, RUN_BLOCK)):
+        packed.append(zlib.compress(json.dumps(cut).encode(), 3))
+        made.append((file, run, piece, _sort_key(cut[0]), _sort_key(cut[-1]), len(cut), begin, len(packed[-1])))
+        begin += len(packed[-1])
+    if made:
+        files.write(piece, packed)
+    return made
+
+
+def _revisits(rows: DataFrame, revisit_from: int) -> str:
+    """For rows (group, row, id, html) a file a group of (row, id of the response) of those that are revisits; returns the folder."""
+    folder = new_folder(rows.sparkSession, "revisits")
+    slim = materialise(rows.select("group", "row", "id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")), "digests")
+    large = slim.filter(F.col("size") >= revisit_from)
+    kept = materialise(large.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1"), "kept")
+    of = join_hot(large.select("group", "row", "id", "digest"), kept, "digest", "n").filter("id < keep")
+    lists = of.groupBy("group").agg(F.collect_list(F.struct("row", "keep")).alias("of"))  # at most common.GROUP_ROWS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, part, number = SharedFiles(folder), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("file", pa.string()), ("run", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("n_lines", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
         for batch in batches:
-            for some in by_bytes(batch, "html", FILE_BYTES):
-                name, at, out, lines = f"captures-{part:06d}-{number:06d}", 0, [], []
-                number += 1
-                for capture, url, html, digest, keep in zip(*(some.column(c).to_pylist() for c in ("id", "url", "html", "digest", "keep")), strict=True):
-                    kind = "response" if keep is None else "revisit"
-                    data = record(kind, capture, url, html.encode(), digest, keep)
-                    lines.append([url_key(url), timestamp(capture), capture, f"{name}.warc.gz", at, len(data), kind, digest])
-                    out.append(data)
-                    at += len(data)
-                files.write(f"{name}.warc.gz", out)
-                lines.sort(key=_sort_key)
-                cut = [lines[k : k + RUN_BLOCK] for k in range(0, len(lines), RUN_BLOCK)]
-                packed = [zlib.compress(json.dumps(c).encode(), 3) for c in cut]
-                files.write(f"{name}.run", packed)
-                begin, made = 0, []
-                for c, p in zip(cut, packed, strict=True):
-                    made.append({"file": f"{name}.warc.gz", "run": f"{name}.run", "first_key": _sort_key(c[0]), "last_key": _sort_key(c[-1]), "n_lines": len(c), "start": begin, "size": len(p)})
-                    begin += len(p)
-                yield pa.RecordBatch.from_pylist(made, schema)
-
-    return materialise(marked.mapInArrow(write, BLOCKS), "warc-runs")
-
-
-def merge_index(runs: DataFrame, folder: str, lines_per_range: int = 20_000) -> DataFrame:
-    """The index lines of all runs in global order of URL key, timestamp and id: (range_id, position) orders them.
+            for group, own in zip(batch.column("group").to_pylist(), batch.column("of").to_pylist(), strict=True):
+                SharedFiles(folder).write(f"{group}.json", [json.dumps({str(x["row"]): x["keep"] for x in own or ()}).encode()])
+            yield batch.select(["group"])
 
-    There are as many ranges as lines_per_range asks for, but at most four for each shuffle partition.
-    """
-    total = runs.agg(F.sum("n_lines")).first()[0] or 0
-    many = max(1, min(-(-total // lines_per_range), 4 * shuffle_parts(runs.sparkSession)))
-    share = Window.orderBy("first_key", "run", "start")  # a row a block of lines
-    cuts = runs.select("run", "start", "first_key", (F.sum("n_lines").over(share) - 1).alias("upto")).withColumn("range_id", F.floor(F.col("upto") * many / max(1, total)).cast("long"))
-    ranges = cuts.groupBy("range_id").agg(F.min("first_key").alias("low"))
-    after = Window.orderBy("range_id")
-    ranges = ranges.select("range_id", F.when(F.row_number().over(after) == 1, F.lit("")).otherwise(F.col("low")).alias("low"), F.lead("low").over(after).alias("high"))
-    bounds = [(r["range_id"], r["low"], r["high"]) for r in ranges.orderBy("range_id").collect()]  # at most four for each shuffle partition
-    highs = [h for _, _, h in bounds if h is not None]
+    slim.select("group").distinct().join(lists, "group", "left").mapInArrow(write, "group long").write.format("noop").mode("overwrite").save()
+    discard(slim, kept)
+    return folder
 
-    def reach(first: pd.Series, last: pd.Series) -> pd.Series:
-        """Ranges that hold keys from first to last: a range ends before its high."""
 
-        def upto(key: str) -> int:
-            at = bisect_left(highs, key)
-            return at + (at < len(highs) and highs[at] == key)
+@lru_cache(maxsize=4)
+def _revisits_of(folder: str, group: int) -> dict[str, int]:
+    return json.loads(SharedFiles(folder).read(f"{group}.json"))
+
+
+def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000) -> DataFrame:
+    """Writes archives and their runs into folder; returns a row for each block of a run."""
+    bounded_batches(df.sparkSession)
+    found, group, row = located(df, html_col)
+    rows = found.select(F.col(group).alias("group"), F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    revisits = _revisits(rows, revisit_from)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, part, number, payload, at = SharedFiles(folder), TaskContext.get().partitionId(), 0, 0, 0
+        out: list[bytes] = []
+        lines: list[list] = []
 
-        return pd.Series([[bounds[k][0] for k in range(upto(a), upto(b) + 1)] for a, b in zip(first, last, strict=True)])
+        def give() -> pa.RecordBatch:
+            files.write(f"{name}.warc.gz", out)
+            return _rows(write_run(files, f"{name}.run", f"{name}.run", f"{name}.warc.gz", sorted(lines, key=_sort_key)), BLOCKS)
 
-    reach_udf = F.pandas_udf(reach, "array<long>")
-    dealt = runs.select("run", "start", "size", F.explode(reach_udf("first_key", "last_key")).alias("range_id"))
-    limits = {k: (low, high) for k, low, high in bounds}
+        for batch in batches:
+            for some in by_bytes(batch, "html", SLICE_BYTES):
+                for key, place, capture, url, html in zip(*(some.column(c).to_pylist() for c in ("group", "row", "id", "url", "html")), strict=True):
+                    name = f"captures-{part:06d}-{number:06d}"
+                    keep, data = _revisits_of(revisits, key).get(str(place)), html.encode()
+                    kind, digest = "response" if keep is None else "revisit", hashlib.sha1(data).hexdigest()
+                    out.append(record(kind, capture, url, data, digest, keep))
+                    lines.append([url_key(url), timestamp(capture), capture, f"{name}.warc.gz", at, len(out[-1]), kind, digest])
+                    at += len(out[-1])
+                    payload += len(data)
+                    if payload >= FILE_BYTES:
+                        yield give()
+                        out, lines, number, payload, at = [], [], number + 1, 0, 0
+        if out:
+            yield give()
+
+    return materialise(rows.mapInArrow(write, BLOCKS), "warc-runs")
+
+
+def _borders(runs: DataFrame, many: int) -> list[str]:
+    """At most many - 1 keys that cut the lines of runs into ranges of about one size."""
+    if many < 2:
+        return []
+    some = sorted(r["first_key"] for r in runs.select("first_key", "piece", "start").orderBy(F.xxhash64("piece", "start"), "piece", "start").limit(SAMPLE).collect())
+    return sorted({some[k * len(some) // many] for k in range(1, many)}) if some else []
+
+
+def _merged(runs: DataFrame, folder: str, borders: list[str], give, schema: str) -> DataFrame:
+    """What give(set, range, lines) makes of the lines of each range of each set of runs (column `set`), which come merged by (URL key, timestamp, id)."""
+
+    def reach(first: pd.Series, last: pd.Series) -> pd.Series:
+        """Ranges that hold keys from first to last: range k ends before border k."""
+        return pd.Series([list(range(bisect_right(borders, a), bisect_right(borders, b) + 1)) for a, b in zip(first, last, strict=True)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = SharedFiles(folder)
-        names = [x.split()[0] for x in INDEX.split(", ")]
-        types = [pa.string() if x.endswith("string") else pa.int64() for x in INDEX.split(", ")]
         for batch in batches:
-            for range_id, found in zip(batch.column("range_id").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                low, high = limits[range_id]
-                by_run: dict[str, list[tuple[int, int]]] = {}
+            for number, k, found in zip(*(batch.column(c).to_pylist() for c in ("set", "range_id", "blocks")), strict=True):
+                low, high = borders[k - 1] if k else "", borders[k] if k < len(borders) else None
+                by_run: dict[str, list[tuple[str, int, int]]] = {}
                 for b in found:
-                    by_run.setdefault(b["run"], []).append((b["start"], b["size"]))
+                    by_run.setdefault(b["run"], []).append((b["first_key"], b["piece"], b["start"], b["size"]))
 
-                def stream(run: str, parts: list[tuple[int, int]], low: str = low, high: str | None = high) -> Iterator[tuple]:
-                    for start, size in sorted(parts):
-                        for line in json.loads(zlib.decompress(files.read(run, start, size))):
+                def stream(parts: list[tuple], low: str = low, high: str | None = high) -> Iterator[tuple]:
+                    for _, piece, start, size in sorted(parts):
+                        for line in json.loads(zlib.decompress(files.read(piece, start, size))):
                             if low <= (key := _sort_key(line)) and (high is None or key < high):
-                                yield key, *line
+                                yield key, line
 
-                rows = []
-                for position, line in enumerate(LoserTree([stream(run, parts) for run, parts in sorted(by_run.items())])):
-                    rows.append((range_id, position, *line[1:]))
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield from give(number, k, (line for _, line in LoserTree([stream(parts) for _, parts in sorted(by_run.items())])))
+
+    dealt = runs.select("set", "run", "piece", "first_key", "start", "size", F.explode(F.pandas_udf(reach, "array<long>")("first_key", "last_key")).alias("range_id"))
+    grouped = dealt.groupBy("set", "range_id").agg(F.collect_list(F.struct("run", "piece", "first_key", "start", "size")).alias("blocks"))  # blocks, not lines, of one range
+    return grouped.mapInArrow(merge, schema)
+
+
+def longer_runs(runs: DataFrame, folder: str, fan_in: int) -> DataFrame:
+    """Merges each fan_in runs into one; returns the blocks of the new runs."""
+    order = Window.orderBy("run")  # a row a run, that is, an archive of FILE_BYTES
+    sets = runs.select("run").distinct().withColumn("set", F.floor((F.row_number().over(order) - 1) / fan_in).cast("long"))
+    lines, many = runs.agg(F.sum("n_lines"), F.count_distinct("run")).first()
+    borders = _borders(runs, -(-lines * fan_in // max(many, fan_in) // RANGE_LINES))
+    own = uuid.uuid4().hex[:8]
+
+    def write(number: int, k: int, lines: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        made = write_run(SharedFiles(folder), f"merged-{own}-{number:06d}-{k:06d}.run", f"merged-{own}-{number:06d}", None, lines)
+        if made:
+            yield _rows(made, BLOCKS)
+
+    return materialise(_merged(runs.join(sets, "run"), folder, borders, write, BLOCKS), "warc-runs")
+
+
+def merge_index(runs: DataFrame, folder: str, lines_per_range: int = 20_000, fan_in: int = FAN_IN) -> DataFrame:
+    """The index lines of all runs in global order of URL key, timestamp and id: (range_id, position) orders them.
+
+    There are as many ranges as lines_per_range asks for, but at most four for each shuffle partition.
+    """
+    first = runs
+    while runs.select("run").distinct().count() > fan_in:
+        before, runs = runs, longer_runs(runs, folder, fan_in)
+        if before is not first:
+            discard(before)
+    total = runs.agg(F.sum("n_lines")).first()[0] or 0
+    borders = _borders(runs, max(1, min(-(-total // lines_per_range), 4 * shuffle_parts(runs.sparkSession))))
+
+    def rows(_: int, k: int, lines: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        numbered = ((k, position, *line) for position, line in enumerate(lines))
+        while some := list(islice(numbered, 10_000)):
+            yield _rows(some, INDEX)
 
-    grouped = dealt.groupBy("range_id").agg(F.collect_list(F.struct("run", "start", "size")).alias("blocks"))  # blocks, not lines: a range has about lines_per_range lines
-    return grouped.mapInArrow(merge, INDEX)
+    return _merged(runs.withColumn("set", F.lit(0).cast("long")), folder, borders, rows, INDEX)
 
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long"
@@ -273,8 +349,6 @@ def read_archives(runs: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = SharedFiles(folder)
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        types = [pa.string() if x.endswith("string") else pa.int64() for x in RECORDS.split(", ")]
         number = re.compile(r"<urn:capture:(-?\d*)>")
         for batch in batches:
             for name in batch.column("file").to_pylist():
@@ -289,14 +363,17 @@ def read_archives(runs: DataFrame, folder: str) -> DataFrame:
                     own = number.match(head["WARC-Record-ID"])[1]
                     rows.append((int(own) if own else None, size, digest, kind, int(refers[1]) if refers else None, name, at))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield _rows(rows, RECORDS)
 
     return runs.select("file").distinct().repartition(shuffle_parts(runs.sparkSession)).mapInArrow(read, RECORDS)
 
 
 def archive_round_trip(df: DataFrame, **columns: str) -> DataFrame:
-    """Writes the archives, merges their index, reads all back: records with their URL key, capture time and place in the index."""
+    """Writes the archives, merges their index, reads all back: records with their URL key, capture time and place in the whole index, from 0."""
     folder = new_folder(df.sparkSession, "warc")
     runs = write_archives(df, folder, **columns)
-    index = merge_index(runs, folder).select("file", "start", "url_key", "captured", "range_id", "position")
-    return read_archives(runs, folder).join(index, ["file", "start"]).drop("file", "start")
+    index = materialise(merge_index(runs, folder).select("file", "start", "url_key", "captured", "range_id", "position"), "index")
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a range, at most four for each shuffle partition
+    ranges = index.groupBy("range_id").agg(F.count("*").alias("n")).select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = index.join(F.broadcast(ranges), "range_id").withColumn("index_place", F.col("first") + F.col("position")).drop("range_id", "position", "first")
+    return read_archives(runs, folder).join(placed, ["file", "start"]).drop("file", "start")
