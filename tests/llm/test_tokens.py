@@ -53,13 +53,13 @@ def test_dac_random_access():
     r = random.Random(1)
     ids = np.array([r.choice([r.randrange(256), r.randrange(65536), r.randrange(1 << 32)]) for _ in range(3000)], np.uint32)
     n = np.array([0, 1000, 1, 1999])
-    file = dac.TokenFile(b"".join(dac.encode_file(np.array([5, 6, 7, 8]), np.array([0, 0, 1, 0]), ids, n)))
+    file = dac.TokenPart(b"".join(dac.encode_part(np.array([5, 6, 7, 8]), np.array([0, 0, 1, 0]), ids, n)))
     assert len(file) == 3000 and all(file[i] == ids[i] for i in range(0, 3000, 7))
     assert file[2999] == ids[2999] and [file.ids(a, b).tolist() for a, b in ((0, 0), (511, 513), (1, 2999))] == [ids[a:b].tolist() for a, b in ((0, 0), (511, 513), (1, 2999))]
     assert [(d, s, x.tolist()) for d, s, x in file.documents()] == [(5, 0, []), (6, 0, ids[:1000].tolist()), (None, 1000, ids[1000:1001].tolist()), (8, 1001, ids[1001:].tolist())]
     with pytest.raises(IndexError):
         file[3000]
-    small = dac.TokenFile(b"".join(dac.encode_file(np.array([1]), np.array([0]), np.array([1, 2], np.uint32), np.array([2]))))
+    small = dac.TokenPart(b"".join(dac.encode_part(np.array([1]), np.array([0]), np.array([1, 2], np.uint32), np.array([2]))))
     assert len(small.levels) == 1 and small[1] == 2
 
 
@@ -81,6 +81,26 @@ def test_token_files(spark):
     assert dac.store_tokens(df.limit(0), WORD, 1).count() == 0
 
 
+def test_files_of_many_parts(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choices(["red", "green", "blue!", "word"], k=r.randrange(0, 60))) for _ in range(400)]
+    files = SharedFiles(new_folder(spark, "parts"))
+    monkeypatch.setattr(dac, "FILE_TEXT", 30_000)
+    writer, everything = dac.Writer(files, 3), []
+    for at in range(0, 400, 50):
+        lists = [[*library(WORD, t), 1] for t in texts[at : at + 50]]
+        everything += lists
+        writer.add(np.arange(at, at + 50), np.zeros(50, np.uint8), np.array([i for x in lists for i in x], np.uint32), np.array(list(map(len, lists))), sum(map(len, texts[at : at + 50])))
+    writer.end()
+    assert len(writer.rows) == 2 and [x["number"] for x in writer.rows] == [0, 1] and sum(x["n_docs"] for x in writer.rows) == 400
+    opened = [dac.TokenFile(files, x["file"], x["size"]) for x in writer.rows]
+    assert [x.tolist() for f in opened for _, _, x in f.documents()] == everything
+    ids = [i for _, _, x in opened[0].documents() for i in x.tolist()]
+    assert all(opened[0][i] == ids[i] for i in r.sample(range(len(ids)), 100)) and len(opened[0].places) > 1
+    with pytest.raises(ValueError):
+        dac.TokenFile(files, writer.rows[0]["file"], writer.rows[0]["size"] - 1)
+
+
 def by_hand(lengths, capacity):
     """Best fit decreasing, one piece at a time; number of bins."""
     bins = []

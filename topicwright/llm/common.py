@@ -146,19 +146,13 @@ class SharedFiles:
 
     def write(self, name: str, parts: list[bytes]) -> None:
         """Write under another name first and rename: a task that runs twice leaves one whole file."""
-        own = f".{name}.{uuid.uuid4().hex}"
-        if self.local is not None:
-            os.makedirs(self.local, exist_ok=True)
-            with open(f"{self.local}/{own}", "wb") as out:
-                out.writelines(parts)
-            os.replace(f"{self.local}/{own}", f"{self.local}/{name}")
-            return
-        files, path = self._remote(own)
-        files.create_dir(os.path.dirname(path), recursive=True)
-        with files.open_output_stream(path) as out:
-            for x in parts:
-                out.write(x)
-        files.move(path, f"{os.path.dirname(path)}/{name}")
+        out = self.stream(name)
+        for x in parts:
+            out.write(x)
+        out.close()
+
+    def stream(self, name: str) -> Stream:
+        return Stream(self, name)
 
     def read(self, name: str, start: int = 0, length: int | None = None) -> bytes:
         if self.local is not None:
@@ -171,6 +165,31 @@ class SharedFiles:
             return f.read() if length is None else f.read(length)
 
 
+class Stream:
+    """A file that is written piece by piece, and has its name only once it is closed."""
+
+    def __init__(self, files: SharedFiles, name: str):
+        self.size, self.files, self.name, self.own = 0, files, name, f".{name}.{uuid.uuid4().hex}"
+        if files.local is not None:
+            os.makedirs(files.local, exist_ok=True)
+            self.out = open(f"{files.local}/{self.own}", "wb")  # noqa: SIM115
+        else:
+            self.fs, self.path = files._remote(self.own)
+            self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+            self.out = self.fs.open_output_stream(self.path)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.files.local is not None:
+            os.replace(f"{self.files.local}/{self.own}", f"{self.files.local}/{self.name}")
+        else:
+            self.fs.move(self.path, f"{os.path.dirname(self.path)}/{self.name}")
+
+
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the bytes of the Arrow batches that tasks exchange with Python, unless the session sets its own: long texts would fill a batch of 10,000 rows."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
