@@ -1,4 +1,4 @@
-from topicwright.llm.preference import format_preferences, pairs_from_conversations
+from topicwright.llm.preference import conversation_pairs, format_preferences
 
 SCHEMA = "conv_id long, turn long, role string, text string, c string, pair int"
 
@@ -38,6 +38,6 @@ def test_pairs(spark):
 
 def test_pairs_from_conversations(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "A"), (1, 2, "user", "tail"), (2, 0, "user", "b"), (2, 1, "assistant", "B"), (2, 1, "assistant", "C"), (3, 0, "user", "no reply"), (4, 0, "assistant", None), (None, 0, "user", "x")]
-    chosen, rejected = pairs_from_conversations(frame(spark, rows))
-    got = [sorted((r.conv_id, r.turn, r.role, r.text) for r in side.collect()) for side in (chosen, rejected)]
-    assert got == [[(1, 0, "user", "a"), (1, 1, "assistant", "A")], [(1, 0, "user", "a"), (1, 1, "assistant", "C")]]
+    found = {r.pair: [[tuple(t) for t in side] for side in (r.c, r.r)] for r in conversation_pairs(frame(spark, rows)).collect()}
+    assert found == {1: [[("user", "a"), ("assistant", "A")], [("user", "a"), ("assistant", "C")]]}
+    assert conversation_pairs(frame(spark, [])).count() == 0

@@ -53,19 +53,22 @@ def _mask(turns: Column) -> Column:
     return F.aggregate(turns, empty, step, lambda s: F.array_join(s["spans"], ","))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask, identical) of each key on both sides; inputs: rows (key, turn, role, text)."""
-    turn = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
-    sides = [df.filter(F.col(key).isNotNull()).select(F.col(key).alias("pair"), F.lit(k).alias("side"), F.col("turn").cast("long"), *turn) for k, df in enumerate((chosen, rejected))]
+def _plain(rows: DataFrame, key: str) -> DataFrame:
+    """(pair, turn, role, text) of rows with a key, nulls as empty texts."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    return rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("pair"), F.col("turn").cast("long").alias("turn"), *text)
+
+
+def _turns(found: Column) -> Column:
+    """Distinct turns in order, without their numbers."""
+    return F.transform(F.array_sort(found), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
-    def turns(side: int) -> Column:
-        found = F.array_sort(F.collect_set(F.when(F.col("side") == side, F.struct("turn", "role", "text"))))
-        return F.transform(found, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
-    both = sides[0].unionAll(sides[1]).groupBy("pair").agg(turns(0).alias("c"), turns(1).alias("r")).filter("size(c) > 0 and size(r) > 0")
+def render_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    """The result of format_preferences from (pair, c, r): the turns (role, text) of both sides."""
     same = F.zip_with("c", "r", lambda a, b: F.coalesce(a == b, F.lit(False)))  # a turn without a partner is no common one
     first = F.array_position(same, False)
-    counted = both.withColumn("n", F.when(first > 0, first - 1).otherwise(F.size("c")).cast("int"))
+    counted = pairs.withColumn("n", F.when(first > 0, first - 1).otherwise(F.size("c")).cast("int"))
     cut = counted.select("pair", "n", F.slice("c", F.lit(1), F.col("n")).alias("prompt"), *[F.slice(x, F.col("n") + 1, F.size(x)).alias(x) for x in "cr"])
     return cut.select(
         F.col("pair").alias(key),
@@ -79,20 +82,30 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     )
 
 
-def pairs_from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) turns from plain conversations (conv_id, turn, role, text).
+def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask, identical) of each key on both sides; inputs: rows (key, turn, role, text)."""
+    both = _plain(chosen, key).withColumn("side", F.lit(0)).unionAll(_plain(rejected, key).withColumn("side", F.lit(1)))
+    side = lambda k: _turns(F.collect_set(F.when(F.col("side") == k, F.struct("turn", "role", "text"))))
+    return render_pairs(both.groupBy("pair").agg(side(0).alias("c"), side(1).alias("r")).filter("size(c) > 0 and size(r) > 0"), key)
+
+
+def conversation_pairs(rows: DataFrame) -> DataFrame:
+    """(pair, c, r) for render_pairs from plain conversations (conv_id, turn, role, text).
 
     Chosen is a conversation up to its last assistant turn (of several with the
     same number, the one with the greatest text); rejected is the same with the
     last assistant turn of conversation conv_id + 1 in its place. Conversations
-    without an assistant turn or without a next one have no pair.
+    without an assistant turn or without a next one have no pair; rows with a null
+    id or turn are left out.
     """
-    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).filter("conv_id is not null and turn is not null")
-    last = rows.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("text"))
-    paired = last.join(other, "conv_id").select("conv_id", F.col("last.turn").alias("turn"), F.lit("assistant").alias("role"), F.col("last.text").alias("own"), F.col("text").alias("other"))
-    before = rows.join(paired.select("conv_id", F.col("turn").alias("end")), "conv_id").filter("turn < end").select("conv_id", "turn", "role", "text")
-    return tuple(before.unionAll(paired.select("conv_id", "turn", "role", F.col(c).alias("text"))) for c in ("own", "other"))
+    found = _plain(rows.withColumn("conv_id", F.col("conv_id").cast("long")), "conv_id").filter("turn is not null")
+    turns = found.groupBy("pair").agg(F.collect_set(F.struct("turn", "role", "text")).alias("turns"))
+    replies = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text")))
+    own = turns.withColumn("last", F.array_max(replies)).filter("last is not null")
+    other = own.select((F.col("pair") - 1).alias("pair"), F.col("last.text").alias("other"))
+    before = _turns(F.filter("turns", lambda t: t["turn"] < F.col("last.turn")))
+    reply = lambda text: F.array(F.struct(F.lit("assistant").alias("role"), text.alias("text")))
+    return own.join(other, "pair").select("pair", F.concat(before, reply(F.col("last.text"))).alias("c"), F.concat(before, reply(F.col("other"))).alias("r"))
 
 
 ORACLE = r"""

@@ -16,7 +16,7 @@ from .ogg import media_features, store_texts
 from .packing import pack_documents
 from .parity_join import near_duplicates
 from .preference import ORACLE as PREFERENCE_SQL
-from .preference import format_preferences, pairs_from_conversations
+from .preference import conversation_pairs, render_pairs
 from .token_counts import token_counts
 from .warc import archive_round_trip
 
@@ -38,7 +38,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(*pairs_from_conversations(table_parts(spark, sf_dir, "conversations")))
+    return render_pairs(conversation_pairs(table_parts(spark, sf_dir, "conversations")), "conv_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
