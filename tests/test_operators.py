@@ -199,7 +199,7 @@ def test_graph(spark):
     assert [(r.key, r.level, r.parent) for r in graph.breadth_first(table, edge, "a").orderBy("ord").collect()] == [("a", 0, None), ("b", 1, "a"), ("c", 1, "a"), ("d", 2, "c")]
     assert graph.breadth_first(table, edge, "nobody").count() == 0
     assert [r.key for r in graph.depth_first(table, edge, "a").orderBy("ord").collect()] == ["a", "b", "c", "d"]
-    forest = [(r.u, r.v) for r in graph.spanning_forest(table, edge).orderBy("ord").collect()]
+    forest = [(r.u, r.v) for r in graph.spanning_forest(edge).orderBy("ord").collect()]
     assert forest == [("a", "b"), ("a", "c"), ("c", "d"), ("x", "y")]
     assert one(graph.shortest_path(table, edge, "a", "d")).path == ["a", "c", "d"]
     assert graph.shortest_path(table, edge, "a", "x").count() == 0
@@ -212,7 +212,7 @@ def test_graph(spark):
     assert [(x.level, x["keys"], x.counts) for x in levels] == [(1, ["b", "c"], [2, 1]), (2, ["d"], None)]
     clusters = graph.clusters(table, edge)
     assert one(graph.solo(clusters)).key == "solo"
-    drawn = graph.highlighted(edge, graph.shortest_path(table, edge, "a", "d"), graph.spanning_forest(table, edge))
+    drawn = graph.highlighted(edge, graph.shortest_path(table, edge, "a", "d"), graph.spanning_forest(edge))
     assert {(r.u, r.v) for r in drawn.filter("on_path").collect()} == {("a", "c"), ("c", "d")}
     assert graph.edges(mentions.withColumn("unit", F.lit(1)), "unit").count() == 15
 
@@ -237,7 +237,7 @@ def test_forest_is_kruskals(spark):
                 parent[root(u)] = root(v)
                 want.append((u, v))
         edge = spark.createDataFrame(rows, "u string, v string, count long, weight double")
-        got = graph.spanning_forest(spark.createDataFrame([(n,) for n in names], "key string"), edge).orderBy("ord").collect()
+        got = graph.spanning_forest(edge).orderBy("ord").collect()
         assert [(x.u, x.v) for x in got] == want
 
 

@@ -1,19 +1,19 @@
 """Shape of the search trees that the topic keys would make: balanced (AVL) and plain.
 
-A table needs no tree; these figures are for the report on balancing. They take
-the distinct keys in order of first sight: for the balanced tree in one task,
-for the plain one as a query, since y lies above x in it exactly if y came first
-of all keys from y to x.
+A table needs no tree; these figures are for the report on balancing. Searches
+are first counted by key and by the number of keys known then, so that a task
+which grows the tree reads at most a row for each two distinct keys.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A node is (key, left, right, height); None is the empty tree.
@@ -152,6 +152,25 @@ class Plain:
 SHAPE = "height int, size int, comparisons long, ll int, rr int, lr int, rl int, best int, pre array<string>, post array<string>, serialized array<string>"
 
 
+def counted(lookups: DataFrame) -> DataFrame:
+    """(known, key, n) of lookups (ord, key): searches for a key while `known` keys were there, its own first one included. ord may be a struct; equal ones go by key."""
+    place = F.struct("ord", "key")
+    firsts = lookups.groupBy("key").agg(F.min(place).alias("at")).agg(F.array_sort(F.collect_list("at")).alias("firsts"))  # a place a distinct key
+    known = F.when(place >= F.element_at("firsts", -1), F.size("firsts")).otherwise(F.size(F.filter("firsts", lambda x: x <= place)))
+    return lookups.crossJoin(F.broadcast(firsts)).groupBy(known.alias("known"), "key").agg(F.count("*").alias("n"))
+
+
+def _in_order(pdf: pd.DataFrame) -> Iterator[tuple[str, dict[str, int]]]:
+    """(new key, searches by key until the next one) in order of first sight."""
+    seen: set[str] = set()
+    for _, some in pdf.groupby("known", sort=True):
+        searches = dict(zip(some["key"], some["n"].astype(int), strict=True))
+        new = next(k for k in searches if k not in seen)
+        seen.add(new)
+        searches[new] -= 1
+        yield new, searches
+
+
 def tree_shape(lookups: DataFrame) -> DataFrame:
     """One row of figures of the balanced tree that the keys of lookups (ord, key) make, in that order.
 
@@ -161,30 +180,33 @@ def tree_shape(lookups: DataFrame) -> DataFrame:
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = Balanced()
-        for key in pdf.sort_values("ord", kind="stable")["key"]:
-            tree.add(key)
+        for new, searches in _in_order(pdf):
+            tree.add(new)
+            for key, n in searches.items():
+                before = tree.comparisons
+                tree.find(key)
+                tree.comparisons = before + n * (tree.comparisons - before)
         r = tree.rotations
         row = (height(tree.root), tree.size, tree.comparisons, r["LL"], r["RR"], r["LR"], r["RL"], math.ceil(math.log2(tree.size + 1)), tree.walk("pre"), tree.walk("post"), tree.serialize())
         return pd.DataFrame([row], columns=[c.split()[0] for c in SHAPE.split(", ")])
 
-    return lookups.groupBy(F.lit(1).alias("one")).applyInPandas(grow, SHAPE)
+    return counted(lookups).groupBy(F.lit(1).alias("one")).applyInPandas(grow, SHAPE)
 
 
 def plain_depths(first: DataFrame) -> DataFrame:
-    """(key, depth) in the unbalanced tree of keys inserted in the order of ord (distinct keys).
+    """(key, depth) in the unbalanced tree of keys inserted in the order of ord (distinct keys): a key goes under the deeper of the two that it falls between."""
 
-    y stands above x if it came before x and before every key between them. This
-    compares pairs of distinct keys: a report on some hundred topics, not a
-    corpus operator.
-    """
-    rows = first.select("key", "ord")
-    a, b = rows.withColumnsRenamed({"key": "x", "ord": "ox"}), rows.withColumnsRenamed({"key": "y", "ord": "oy"})
-    earlier = a.join(b, F.col("oy") < F.col("ox"))
-    between = rows.withColumnsRenamed({"key": "z", "ord": "oz"})
-    low, high = F.least("x", "y"), F.greatest("x", "y")
-    hidden = earlier.join(between, (F.col("z") > low) & (F.col("z") < high) & (F.col("oz") < F.col("oy")), "left_anti")
-    above = hidden.groupBy(F.col("x").alias("key")).agg(F.count("*").alias("above"))
-    return rows.join(above, "key", "left").select("key", (F.coalesce("above", F.lit(0)) + 1).alias("depth"))
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys: list[str] = []
+        depth: dict[str, int] = {}
+        for key in pdf.sort_values("place")["key"]:
+            at = bisect_left(keys, key)
+            depth[key] = 1 + max((depth[k] for k in keys[max(0, at - 1) : at + 1]), default=0)
+            keys.insert(at, key)
+        return pd.DataFrame({"key": list(depth), "depth": list(depth.values())})
+
+    rows = first.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("rows"))  # a row a distinct key
+    return rows.select(F.posexplode("rows").alias("place", "r")).select("place", F.col("r.key").alias("key")).groupBy(F.lit(1).alias("one")).applyInPandas(grow, "key string, depth int")
 
 
 def heights(lookups: DataFrame) -> DataFrame:
@@ -196,5 +218,4 @@ def heights(lookups: DataFrame) -> DataFrame:
 
 def lookups(mentions: DataFrame) -> DataFrame:
     """(ord, key) of every search that counting the mentions makes."""
-    order = Window.orderBy("doc", "paper", "q", "pos")
-    return mentions.select(F.row_number().over(order).alias("ord"), "key")
+    return mentions.select(F.struct("doc", "paper", "q", "pos").alias("ord"), "key")

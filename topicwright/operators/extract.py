@@ -48,10 +48,7 @@ def topics_in(form: str, phrases: Iterable[tuple[str, str]]) -> list[str]:
         if (at := rest.find(needle)) < 0:
             continue
         places.setdefault(topic, at)
-        blank = " |" + " " * (len(needle) - 3) + "| "
-        while at >= 0:
-            rest = rest[:at] + blank + rest[at + len(needle) :]
-            at = rest.find(needle)
+        rest = re.sub(f" {re.escape(phrase)}(?= )", " |" + " " * (len(phrase) - 1) + "|", rest)
     return sorted(places, key=places.__getitem__)
 
 

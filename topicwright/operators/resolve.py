@@ -88,7 +88,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None, hours: DataFr
     """Keys of mentions (doc, paper, q, pos, raw and more); hours' topics are resolved after them all."""
     spark = mentions.sparkSession
     place = F.struct(F.lit(0).alias("phase"), *[F.col(c) for c in ("doc", "paper", "q", "pos")])
-    seen = mentions.withColumn("spelled", canonical(F.col("raw"))).filter("spelled <> ''")
+    # canonical forms are made of distinct spellings, each with its first place
+    seen = mentions.groupBy("raw").agg(F.min(place).alias("at")).withColumn("spelled", canonical(F.col("raw"))).filter("spelled <> ''")
     if aliases is not None:
         last = aliases.select(canonical(F.col("alias")).alias("spelled"), canonical(F.col("target")).alias("to"), "place")
         last = last.groupBy("spelled").agg(F.max_by("to", "place").alias("to"))
@@ -96,7 +97,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None, hours: DataFr
     else:
         last = None
         seen = seen.withColumn("form", F.col("spelled")).withColumn("aliased", F.lit(False))
-    firsts = seen.groupBy("form").agg(F.min(place).alias("at"), F.min_by("raw", place).alias("raw"), F.min_by("aliased", place).alias("aliased"))
+    seen = cut(seen)
+    firsts = seen.groupBy("form").agg(F.min("at").alias("first"), F.min_by("raw", F.struct("at", "raw")).alias("raw"), F.min_by("aliased", F.struct("at", "raw")).alias("aliased")).withColumnRenamed("first", "at")
     firsts = firsts.select("form", F.lit(0).alias("phase"), F.col("at.doc").alias("doc"), F.col("at.paper").alias("paper"), F.col("at.q").alias("q"), F.col("at.pos").cast("long").alias("pos"), "raw", "aliased")
     if hours is not None:
         timed = hours.withColumn("spelled", canonical(F.col("topic"))).filter("spelled <> ''")
@@ -112,7 +114,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None, hours: DataFr
     keyed = cut(leaders(forms, threshold))
 
     known = keyed.select("form", "key")
-    resolved = seen.join(known, "form").withColumn("again", F.row_number().over(Window.partitionBy("doc", "paper", "q", "key").orderBy("pos"))).filter("again = 1").drop("again", "spelled", "aliased", "form")
+    spellings = seen.join(known, "form").select("raw", "key")  # a row a distinct spelling
+    resolved = mentions.join(spellings, "raw").withColumn("again", F.row_number().over(Window.partitionBy("doc", "paper", "q", "key").orderBy("pos", "raw"))).filter("again = 1").select(*mentions.columns, "key")
     if hours is not None:
         by_key = timed.join(known, "form").groupBy("key").agg(F.max_by("hours", "place").alias("hours"))
     else:

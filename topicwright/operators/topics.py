@@ -24,11 +24,6 @@ def ordered_labels(labels: Column) -> Column:
     return F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(label_order(x).alias("o"), x.alias("x")))), lambda s: s["x"])
 
 
-def most_common(counts: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value) with the greatest n, of several the least value."""
-    return counts.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))
-
-
 def topics(mentions: DataFrame, hours: DataFrame | None = None, override: dict[str, float] | None = None, default_hours: float = 2.0) -> DataFrame:
     """(key, frequency, marks, years, unit_counts, variants, unit, display, study_hours, hours_set, first) of every key.
 
@@ -37,13 +32,26 @@ def topics(mentions: DataFrame, hours: DataFrame | None = None, override: dict[s
     ties to the smaller; hours: override, else hours, else the default.
     """
     shared = marks_share(mentions)
-    base = shared.groupBy("key").agg(F.count("*").alias("frequency"), F.sum("share").alias("marks"), F.collect_set("label").alias("labels"), F.min(F.struct(*QUESTION, "pos")).alias("first"))
-    units = mentions.groupBy("key", "unit").agg(F.count("*").alias("n"))
-    spelled = mentions.groupBy("key", "raw").agg(F.count("*").alias("n")).withColumn("own", canonical(F.col("raw")) == F.col("key"))
-    maps = lambda rows, c, name: rows.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(name))
-    shown = spelled.groupBy("key").agg(F.min_by("raw", F.struct(~F.col("own"), -F.col("n"), F.col("raw"))).alias("display"))
-    table = base.join(maps(units, "unit", "unit_counts"), "key").join(maps(spelled, "raw", "variants"), "key").join(most_common(units, "key", "unit"), "key").join(shown, "key")
-    table = table.withColumn("years", ordered_labels(F.col("labels"))).drop("labels")
+    first = F.struct(*QUESTION, "pos")
+    # by key, spelling and unit, then by key and spelling, then by key: mentions are read once, and each step combines before it shuffles
+    fine = shared.groupBy("key", "raw", "unit").agg(F.count("*").alias("n"), F.sum("share").alias("share"), F.collect_set("label").alias("labels"), F.min(first).alias("first"))
+    lists = lambda c: F.flatten(F.collect_list(c))
+    spelled = fine.groupBy("key", "raw").agg(F.sum("n").alias("n"), F.sum("share").alias("share"), lists("labels").alias("labels"), F.min("first").alias("first"), F.collect_list(F.struct("unit", "n")).alias("units"))
+    spelled = spelled.withColumn("other", canonical(F.col("raw")) != F.col("key"))
+    table = spelled.groupBy("key").agg(
+        F.sum("n").alias("frequency"),
+        F.sum("share").alias("marks"),
+        F.array_distinct(lists("labels")).alias("labels"),
+        F.min("first").alias("first"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("raw", "n")))).alias("variants"),
+        F.min_by("raw", F.struct("other", -F.col("n"), F.col("raw"))).alias("display"),
+        lists("units").alias("parts"),
+    )
+    units = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["unit"])))
+    counted = F.transform(units, lambda u: F.struct(u.alias("unit"), F.aggregate(F.filter("parts", lambda p: p["unit"] == u), F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n")))
+    table = table.withColumn("unit_counts", F.map_from_entries(counted)).drop("parts")
+    commonest = F.array_min(F.transform(F.map_entries("unit_counts"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("unit"))))
+    table = table.withColumn("unit", commonest["unit"]).withColumn("years", ordered_labels(F.col("labels"))).drop("labels")
     own = F.lit(None).cast("double")
     if override:
         own = F.create_map(*[F.lit(x) for kv in override.items() for x in (kv[0], float(kv[1]))])[F.col("key")]
@@ -138,10 +146,11 @@ def kpis(mentions: DataFrame, table: DataFrame, n_papers: int) -> DataFrame:
     return asked.crossJoin(F.broadcast(found)).select(F.lit(n_papers).alias("papers"), "questions", "marks", "topics", "in_every_paper", F.col("l.display").alias("lead"), F.col("l.frequency").alias("lead_frequency"), F.col("l.papers").alias("lead_papers"))
 
 
-def heatmap(mentions: DataFrame, table: DataFrame, n: int = 12) -> DataFrame:
-    """(key, display, frequency, label, n): paper counts of the n most frequent topics."""
-    top = top_n(table, n).select("key", "display", "frequency")
-    return breakdown_rows(mentions).join(F.broadcast(top), "key").select("key", "display", "frequency", "label", "n")  # n rows
+def heatmap(mentions: DataFrame, table: DataFrame, n: int = 12, n_papers: int | None = None) -> DataFrame:
+    """(key, display, frequency, label, n, in_papers): paper counts of the n most frequent topics, and in how many papers each is; with n_papers also of how many."""
+    top = top_n(table, n).select("key", "display", "frequency", F.size("years").alias("in_papers"))
+    total = [] if n_papers is None else [F.lit(n_papers).alias("total")]
+    return breakdown_rows(mentions).join(F.broadcast(top), "key").select("key", "display", "frequency", "label", "n", "in_papers", *total)  # n rows
 
 
 def topic_table(table: DataFrame, n_papers: int) -> DataFrame:

@@ -12,27 +12,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_mentions(spark: SparkSession, sf_dir: str, topic: str = "p_name", before: str | None = None, days: int | None = None) -> DataFrame:
-    """(doc, paper, label, q, id, unit, marks, pos, raw) of all lines of all orders, or of orders before a date, or of the first days of each year."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    if before:
-        orders = orders.filter(F.col("o_orderdate") < F.lit(before).cast("timestamp"))
-    if days:
-        orders = orders.filter(F.dayofyear("o_orderdate") <= days)
+def _lines(spark: SparkSession, sf_dir: str, topic: str, each_customer: bool, daily: bool) -> DataFrame:
+    """(doc, paper, q, unit, marks, pos, raw, key) of all lines of all orders; canonical forms are made of the parts, before the join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col(topic).cast("string").alias("raw"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    year = F.year("o_orderdate")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col(topic).cast("string").alias("raw")).withColumn("key", canonical(F.col("raw"))).filter("key <> ''")
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    own = (lambda c: F.concat(F.col("o_custkey").cast("string"), F.lit(" "), F.col(c))) if each_customer else F.col
+    doc = F.unix_date(F.col("o_orderdate").cast("date")) if daily else F.lit(0)
     unit = F.substring("o_orderpriority", 1, 1).cast("int")
-    return joined.select(F.lit(0).alias("doc"), year.alias("paper"), year.cast("string").alias("label"), F.col("o_orderkey").alias("q"), F.concat(F.lit("Q"), F.col("o_orderkey").cast("string")).alias("id"), unit.alias("unit"), F.col("o_totalprice").alias("marks"), F.col("l_linenumber").alias("pos"), "raw")
+    return joined.select(doc.alias("doc"), F.year("o_orderdate").alias("paper"), F.col("o_orderkey").alias("q"), unit.alias("unit"), F.col("o_totalprice").alias("marks"), F.col("l_linenumber").alias("pos"), own("raw").alias("raw"), own("key").alias("key"))
 
 
-def mentions(spark: SparkSession, sf_dir: str, **slices) -> DataFrame:
-    """The same with key, a row for each key of a question, the first of its spellings; several lines of an order may have one place, then the least spelling."""
-    keyed = raw_mentions(spark, sf_dir, **slices).withColumn("key", canonical(F.col("raw"))).filter("key <> ''")
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("doc", "paper", F.col("paper").cast("string").alias("label"), "q", F.concat(F.lit("Q"), F.col("q").cast("string")).alias("id"), "unit", "marks", *columns)
+
+
+def raw_mentions(spark: SparkSession, sf_dir: str, topic: str = "p_name", each_customer: bool = False) -> DataFrame:
+    """(doc, paper, label, q, id, unit, marks, pos, raw) of all lines; each_customer: topics are the customer's own."""
+    return _named(_lines(spark, sf_dir, topic, each_customer, False), "pos", "raw")
+
+
+def mentions(spark: SparkSession, sf_dir: str, topic: str = "p_name", each_customer: bool = False, daily: bool = False) -> DataFrame:
+    """The same with key, a row for each key of a question, the first of its spellings; several lines of an order may have one place, then the least spelling. daily: doc is the day of the order."""
     first = F.min(F.struct("pos", "raw")).alias("f")
-    grouped = keyed.groupBy("doc", "paper", "label", "q", "id", "unit", "marks", "key").agg(first)
-    return grouped.select("doc", "paper", "label", "q", "id", "unit", "marks", F.col("f.pos").alias("pos"), F.col("f.raw").alias("raw"), "key")
+    of_order = [F.max(c).alias(c) for c in ("doc", "paper", "unit", "marks")]  # the same on all lines of an order
+    grouped = _lines(spark, sf_dir, topic, each_customer, daily).groupBy("q", "key").agg(first, *of_order)
+    return _named(grouped, F.col("f.pos").alias("pos"), F.col("f.raw").alias("raw"), "key")
+
+
+def paper_count(spark: SparkSession, sf_dir: str) -> int:
+    """Years with orders that have lines."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count_distinct(F.year("o_orderdate"))).first()[0]
+
+
+def years(spark: SparkSession, sf_dir: str) -> list[str]:
+    found = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("y")).distinct().collect()
+    return sorted(r["y"] for r in found)
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:

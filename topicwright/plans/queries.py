@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.checkpoints import cut
 from ..functions.text import canonical, label_order
 from ..operators import diagnostics, extract, graph, parse, planning, resolve, topics
-from ..sources.vocabulary import Vocabulary, read_table
+from ..sources.vocabulary import DEFAULT, Vocabulary, read_table
 from . import bench_adapter as data
 from .analysis import from_mentions
 from .options import Options
@@ -19,8 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Slice of the graph queries that have SQL: orders of the first week, topics by part. Their twins named ..._all take all orders.
-WEEK = {"topic": "p_partkey", "before": "1995-01-08"}
+#: Topics of the graph queries: the brands that a customer buys, so that the graph of all orders has many components.
+BRANDS = {"topic": "p_brand", "each_customer": True}
 
 #: A vocabulary for the text tables: frequent words of their languages.
 WORDS = Vocabulary(
@@ -56,19 +56,20 @@ def _canonical_sql(c: str) -> str:
     return f"array_to_string(list_transform({words}, lambda w: case when length(w) > 3 and w like '%s' and w not like '%ss' then w[:-2] else w end), ' ')"
 
 
-def _mentions_sql(topic: str = "p_name", where: str = "true") -> str:
+def _mentions_sql(raw: str = "p_name", key: str = "p_name", recursive: str = "") -> str:
     """Common tables raws and mentions."""
     return f"""
-    with raws as (
-      select year(o_orderdate) as paper, cast(year(o_orderdate) as varchar) as label, o_orderkey as q, cast(substr(o_orderpriority, 1, 1) as int) as unit,
-        o_totalprice as marks, l_linenumber as pos, cast({topic} as varchar) as raw, cast({topic} as varchar) as key
-      from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where {where}),
-    firsts as (select paper, label, q, unit, marks, key, min({{'pos': pos, 'raw': raw}}) as f from raws group by all),
-    mentions as (select paper, label, q, unit, marks, key, f.pos as pos, f.raw as raw from firsts)"""
+    with {recursive} raws as (
+      select year(o_orderdate) as paper, cast(year(o_orderdate) as varchar) as label, cast(o_orderdate as date) as day, o_orderkey as q, cast(substr(o_orderpriority, 1, 1) as int) as unit,
+        o_totalprice as marks, l_linenumber as pos, {raw} as raw, {key} as key
+      from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+    firsts as (select paper, label, day, q, unit, marks, key, min({{'pos': pos, 'raw': raw}}) as f from raws group by all),
+    mentions as (select paper, label, day, q, unit, marks, key, f.pos as pos, f.raw as raw from firsts)"""
 
 
 _M = _mentions_sql()
-_WEEK = _mentions_sql("p_partkey", "o_orderdate < timestamp '1995-01-08'")
+_RECURSIVE = _mentions_sql(recursive="recursive")
+_BRANDS = _mentions_sql("o_custkey || ' ' || p_brand", "o_custkey || ' ' || lower(p_brand)", "recursive")
 _TOPICS = """, shares as (select *, marks / count(*) over (partition by q) as share from mentions),
     topics as (select key, count(*) as frequency, round(sum(share), 2) as marks, count(distinct label) as papers from shares group by key)"""
 _EDGES = """, edges as (select a.key as u, b.key as v, count(*) as count from mentions a join mentions b on a.q = b.q and a.key < b.key group by all)"""
@@ -174,7 +175,7 @@ def breakdown(spark, sf_dir):
 
 @query(_M + " select key, " + ", ".join(f"count(*) filter (where label = '{y}') as y{y}" for y in range(1995, 2002)) + " from mentions group by key")
 def breakdown_wide(spark, sf_dir):
-    years = [str(y) for y in range(1995, 2002)]
+    years = data.years(spark, sf_dir)
     return topics.breakdown(data.mentions(spark, sf_dir), years).withColumnsRenamed({y: f"y{y}" for y in years})
 
 
@@ -189,23 +190,23 @@ def unit_totals(spark, sf_dir):
 
 
 @query(_M + _TOPICS + """, asked as (select distinct q, marks from mentions)
-    select 7 as papers, (select count(*) from asked) as questions, (select round(sum(marks), 2) from asked) as marks, count(*) as topics,
-      count(*) filter (where papers = 7) as in_every_paper, arg_min(key, {'f': -frequency, 'k': key}) as lead, max(frequency) as lead_frequency from topics""")
+    select (select cast(count(distinct label) as int) from mentions) as papers, (select count(*) from asked) as questions, (select round(sum(marks), 2) from asked) as marks, count(*) as topics,
+      count(*) filter (where papers = (select count(distinct label) from mentions)) as in_every_paper, arg_min(key, {'f': -frequency, 'k': key}) as lead, max(frequency) as lead_frequency from topics""")
 def kpis(spark, sf_dir):
     m = data.mentions(spark, sf_dir)
-    return topics.kpis(m, topics.topics(m), 7).withColumn("marks", F.round("marks", 2)).drop("lead_papers")
+    return topics.kpis(m, topics.topics(m), data.paper_count(spark, sf_dir)).withColumn("marks", F.round("marks", 2)).drop("lead_papers")
 
 
-@query(_M + ", t as (select key, count(*) as frequency from mentions group by key order by 2 desc, 1 limit 12) select t.key, t.key as display, frequency, label, count(*) as n from t join mentions m on m.key = t.key group by all")
+@query(_M + ", t as (select key, count(*) as frequency, cast(count(distinct label) as int) as in_papers from mentions group by key order by 2 desc, 1 limit 12) select t.key, t.key as display, frequency, in_papers, (select cast(count(distinct label) as int) from mentions) as total, label, count(*) as n from t join mentions m on m.key = t.key group by all")
 def heatmap(spark, sf_dir):
     m = data.mentions(spark, sf_dir)
-    return topics.heatmap(m, topics.topics(m))
+    return topics.heatmap(m, topics.topics(m), n_papers=data.paper_count(spark, sf_dir))
 
 
-@query(_M + _TOPICS + " select key, key as display, frequency, cast(papers as int) as papers, papers / 7 as share, 0 as n_others from topics")
+@query(_M + _TOPICS + " select key, key as display, frequency, cast(papers as int) as papers, papers / (select count(distinct label) from mentions) as share, 0 as n_others from topics")
 def topic_table(spark, sf_dir):
     m = data.mentions(spark, sf_dir)
-    return topics.topic_table(topics.topics(m), 7).select("key", "display", "frequency", "papers", "share", F.size("others").alias("n_others"))
+    return topics.topic_table(topics.topics(m), data.paper_count(spark, sf_dir)).select("key", "display", "frequency", "papers", "share", F.size("others").alias("n_others"))
 
 
 @query(_STORE.replace("select m.key, count(*) as frequency", "select key, least(20.0, greatest(0.5, study_hours + 0.5)) as study_hours from (select m.key, count(*) as frequency") + ")")
@@ -235,156 +236,144 @@ def unit_matrix(spark, sf_dir):
     return graph.unit_matrix(graph.edges(m), topics.topics(m))
 
 
-def _week(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(table, edges) of the graph slice."""
-    m = data.mentions(spark, sf_dir, **WEEK)
-    return m.groupBy("key").agg(F.count("*").alias("frequency")), graph.edges(m)
-
-
-def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(table, edges) of all orders, topics by part."""
-    m = data.mentions(spark, sf_dir, topic="p_partkey")
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(table, edges) of all orders."""
+    m = data.mentions(spark, sf_dir, **BRANDS)
     return cut(m.groupBy("key").agg(F.count("*").alias("frequency"))), cut(graph.edges(m))
 
 
 _REACH = ", adj as (select u, v from edges union all select v, u from edges), reach as (select key as a, key as b from (select distinct key from mentions) union select reach.a, adj.v from reach join adj on reach.b = adj.u)"
 
 
-@query(_WEEK.replace("with raws", "with recursive raws") + _EDGES + _REACH + " select a as key, min(b) as component from reach group by a")
+@query(_BRANDS + _EDGES + _REACH + " select a as key, min(b) as component from reach group by a")
 def graph_components(spark, sf_dir):
-    return graph.components(*_week(spark, sf_dir))
+    return graph.components(*_graph(spark, sf_dir))
 
 
-@query(_WEEK.replace("with raws", "with recursive raws") + _EDGES + _REACH + """, c as (select a as key, min(b) as component from reach group by a),
+@query(_BRANDS + _EDGES + _REACH + """, c as (select a as key, min(b) as component from reach group by a),
     f as (select key, count(*) as frequency from mentions group by key),
     g as (select component, string_agg(key, ',' order by frequency desc, key) as keys, cast(sum(frequency) as bigint) as frequency, min({'f': -frequency, 'k': key}) as best from c join f using (key) group by component)
     select cast(row_number() over (order by best) as int) as cluster, keys, frequency from g""")
 def graph_clusters(spark, sf_dir):
-    return graph.clusters(*_week(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
+    return graph.clusters(*_graph(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
 
 
-@query(_WEEK.replace("with raws", "with recursive raws") + _EDGES + _REACH + " select a as key from reach group by a having count(*) = 1")
+@query(_BRANDS + _EDGES + _REACH + " select a as key from reach group by a having count(*) = 1")
 def graph_solo(spark, sf_dir):
-    return graph.solo(graph.clusters(*_week(spark, sf_dir))).select("key")
+    return graph.solo(graph.clusters(*_graph(spark, sf_dir))).select("key")
 
 
-@query(_WEEK.replace("with raws", "with recursive raws") + _EDGES + """, ranked as (select *, row_number() over (order by count desc, u || v, u) as r from edges),
+@query(_BRANDS + _EDGES + """, ranked as (select *, row_number() over (order by count desc, u || v, u) as r from edges),
     adj as (select u, v, r from ranked union all select v, u, r from ranked),
     reach as (select r as e, u as x from ranked union select e, adj.v from reach join adj on adj.u = reach.x and adj.r < reach.e)
     select u, v, count, cast(row_number() over (order by r) as int) as ord from ranked where not exists (select 1 from reach where e = r and x = v)""")
 def graph_spanning_forest(spark, sf_dir):
-    return graph.spanning_forest(*_week(spark, sf_dir)).select("u", "v", "count", "ord")
+    return graph.spanning_forest(_graph(spark, sf_dir)[1]).select("u", "v", "count", "ord")
 
 
 def _start(table: DataFrame, edge: DataFrame) -> str:
     return graph.default_source(table, edge).first()["key"]
 
 
-@query(_WEEK.replace("with raws", "with recursive raws") + _EDGES + """, adj as (select u, v from edges union all select v, u from edges),
-    start as (select key from mentions where exists (select 1 from adj where u = key) group by key order by count(*) desc, key limit 1),
-    walk as (select key, 0 as level from start union select adj.v, level + 1 from walk join adj on adj.u = walk.key where level < 40)
-    select key, min(level) as level from walk group by key""")
+_ADJ = """, adj as (select u, v, count from edges union all select v, u, count from edges),
+    start as (select key from mentions where exists (select 1 from adj where u = key) group by key order by count(*) desc, key limit 1)"""
+_WALK = _ADJ + """, walk(key, level) using key (key) as (
+      select key, 0 as level from start union select adj.v, min(level) + 1 from walk join adj on adj.u = walk.key where adj.v not in (select key from recurring.walk) group by adj.v)"""
+# paths by (count, key) of their steps: the order in which a queue gives vertices is that of the least path
+_QUEUE = _WALK + """, ways as (
+      select key, 0 as level, [{'c': cast(0 as bigint), 'k': key}] as path from start
+      union all select adj.v, ways.level + 1, list_append(path, {'c': -adj.count, 'k': adj.v}) from ways join adj on adj.u = ways.key join walk on walk.key = adj.v and walk.level = ways.level + 1),
+    least as (select key, min(level) as level, min(path) as path from ways group by key)
+    select cast(row_number() over (order by level, path) as int) as ord, key, level, case when level > 0 then path[-2].k end as parent from least"""
+_DISTANCES = _ADJ + """, best(key, dist, path) using key (key) as (
+      select key, cast(0 as double) as dist, [key] as path from start
+      union select n.key, n.w.d, n.w.p from (
+        select adj.v as key, min({'d': best.dist + 1.0::double / adj.count, 'p': list_append(best.path, adj.v)}) as w from best join adj on adj.u = best.key where not list_contains(best.path, adj.v) group by adj.v) n
+      left join recurring.best r on r.key = n.key where r.key is null or n.w.d < r.dist or (n.w.d = r.dist and n.w.p < r.path))"""
+
+
+@query(_BRANDS + _EDGES + _WALK + " select key, level from walk")
 def graph_bfs_levels(spark, sf_dir):
-    table, edge = _week(spark, sf_dir)
+    table, edge = _graph(spark, sf_dir)
     return graph.breadth_first(table, edge, _start(table, edge)).select("key", "level")
 
 
-@query()
-def graph_components_all(spark, sf_dir):
-    return graph.components(*_whole(spark, sf_dir))
-
-
-@query()
-def graph_clusters_all(spark, sf_dir):
-    return graph.clusters(*_whole(spark, sf_dir)).withColumn("keys", F.array_join("keys", ","))
-
-
-@query()
-def graph_solo_all(spark, sf_dir):
-    return graph.solo(graph.clusters(*_whole(spark, sf_dir))).select("key")
-
-
-@query()
-def graph_spanning_forest_all(spark, sf_dir):
-    return graph.spanning_forest(*_whole(spark, sf_dir)).select("u", "v", "count", "ord")
-
-
-@query()
-def graph_bfs_levels_all(spark, sf_dir):
-    table, edge = _whole(spark, sf_dir)
-    return graph.breadth_first(table, edge, _start(table, edge)).select("key", "level")
-
-
-@query()
+@query(_BRANDS + _EDGES + _QUEUE)
 def graph_bfs(spark, sf_dir):
-    table, edge = _whole(spark, sf_dir)
+    table, edge = _graph(spark, sf_dir)
     return graph.breadth_first(table, edge, _start(table, edge))
 
 
 @query()
 def graph_dfs(spark, sf_dir):
-    table, edge = _whole(spark, sf_dir)
+    table, edge = _graph(spark, sf_dir)
     return graph.depth_first(table, edge, _start(table, edge))
 
 
 @query()
 def graph_prim(spark, sf_dir):
-    table, edge = _whole(spark, sf_dir)
+    table, edge = _graph(spark, sf_dir)
     return graph.prim(graph.clusters(table, edge), edge)
 
 
-@query()
+@query(_BRANDS + _EDGES + _DISTANCES + " select key, round(dist, 9) as dist, array_to_string(path, ' > ') as path from best")
 def graph_distances(spark, sf_dir):
-    table, edge = _whole(spark, sf_dir)
-    return graph.distances(table, edge, _start(table, edge))
+    table, edge = _graph(spark, sf_dir)
+    return graph.distances(table, edge, _start(table, edge)).select("key", F.round("dist", 9).alias("dist"), F.array_join("path", " > ").alias("path"))
 
 
-@query()
+@query(_BRANDS + _EDGES + _DISTANCES + " select key, round(dist, 9) as dist, array_to_string(path, ' > ') as path from best where len(path) > 1 order by best.dist desc, key limit 1")
 def graph_bridge(spark, sf_dir):
     """Path from the default source to the topic farthest from it."""
-    table, edge = _whole(spark, sf_dir)
+    table, edge = _graph(spark, sf_dir)
     start = _start(table, edge)
     found = graph.distances(table, edge, start)
-    return found.join(graph.farthest(found, start).select("key"), "key")
+    return found.join(graph.farthest(found, start).select("key"), "key").select("key", F.round("dist", 9).alias("dist"), F.array_join("path", " > ").alias("path"))
 
 
 # planning
 
-_ITEMS = _STORE.replace("from mentions m group by m.key", "from mentions m group by m.key)").replace("select m.key, count(*) as frequency", ", store as (select m.key, count(*) as frequency", 1) + """,
-    items as (select row_number() over (order by key) as i, key, study_hours as h, frequency as v, cast(greatest(1, ceil(study_hours * 2 - 1e-9)) as int) as w from store)"""
+_ITEMS = _STORE.replace(_M, _RECURSIVE).replace("from mentions m group by m.key", "from mentions m group by m.key)").replace("select m.key, count(*) as frequency", ", store as (select m.key, count(*) as frequency", 1) + """,
+    items as (select row_number() over (order by key) as i, key, study_hours as h, cast(frequency as double) as v, cast(greatest(1, ceil(study_hours * 2 - 1e-9)) as int) as w,
+      (select floor(sum(share) * 10 + 0.5) / 10 from (select key as k, marks / count(*) over (partition by q) as share from mentions) where k = key) as m from store)"""
+
 
+_CHOICE = """, dp as (
+      select cast(0 as bigint) as i, list_transform(range(25), lambda x: {{'v': cast(0 as double), 'h': cast(0 as double), 'k': cast([] as varchar[])}}) as best
+      union all select dp.i + 1, list_transform(range(25), lambda c: case when c >= t.w and dp.best[greatest(c - t.w, 0) + 1].v + t.{value} > dp.best[c + 1].v
+        then {{'v': dp.best[c - t.w + 1].v + t.{value}, 'h': dp.best[c - t.w + 1].h + t.h, 'k': list_append(dp.best[c - t.w + 1].k, t.key)}} else dp.best[c + 1] end)
+      from dp join items t on t.i = dp.i + 1),
+    chosen as (select best[25] as plan from dp order by i desc limit 1)"""
 
-@query(_ITEMS.replace("with raws", "with recursive raws") + """, dp as (
-      select cast(0 as bigint) as i, list_transform(range(25), lambda x: cast(0 as bigint)) as best
-      union all select dp.i + 1, list_transform(range(25), lambda c: case when c >= t.w then greatest(dp.best[c + 1], dp.best[greatest(c - t.w, 0) + 1] + t.v) else dp.best[c + 1] end) from dp join items t on t.i = dp.i + 1)
-    select cast(best[25] as double) as value, cast(24 as int) as slots from dp order by i desc limit 1""")
+
+@query(_ITEMS + _CHOICE.format(value="v") + " select plan.v as value, cast(24 as int) as slots, round(plan.h, 6) as hours, array_to_string(plan.k, ',') as chosen from chosen")
 def plan_knapsack(spark, sf_dir):
-    return planning.knapsack(_items(spark, sf_dir), 12).select("value", "slots")
+    return planning.knapsack(_items(spark, sf_dir), 12).select("value", "slots", F.round("hours", 6).alias("hours"), F.array_join("chosen", ",").alias("chosen"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
     return planning.items(topics.topics(data.mentions(spark, sf_dir), data.hours(spark, sf_dir)))
 
 
-@query(_ITEMS.replace("with raws", "with recursive raws") + """, ordered as (select row_number() over (order by v desc, h, key) as j, h, v from items),
-    walk as (select cast(0 as bigint) as j, cast(12.0 as double) as room, cast(0 as bigint) as value
+@query(_ITEMS + """, ordered as (select row_number() over (order by v desc, h, key) as j, h, v from items),
+    walk as (select cast(0 as bigint) as j, cast(12.0 as double) as room, cast(0 as double) as value
       union all select walk.j + 1, case when h <= room + 1e-9 then room - h else room end, case when h <= room + 1e-9 then value + v else value end from walk join ordered o on o.j = walk.j + 1)
     select cast(value as double) as value, round(12.0 - room, 6) as hours from walk order by j desc limit 1""")
 def plan_greedy(spark, sf_dir):
     return planning.greedy(_items(spark, sf_dir), 12).select("value", F.round("hours", 6).alias("hours"))
 
 
-@query()
+@query(_ITEMS + _CHOICE.format(value="v") + ", list as (select unnest(plan.k) as key, plan.h as used from chosen) select key, display, frequency, study_hours, round(least(1.0, used / 12), 6) as used from list join store using (key)")
 def plan_list(spark, sf_dir):
-    table = topics.topics(data.mentions(spark, sf_dir), data.hours(spark, sf_dir))
-    return planning.plan_list(planning.knapsack(planning.items(table), 12), table, 12)
+    table = cut(topics.topics(data.mentions(spark, sf_dir), data.hours(spark, sf_dir)))
+    return planning.plan_list(planning.knapsack(planning.items(table), 12), table, 12).withColumn("used", F.round("used", 6))
 
 
-@query()
+@query(_ITEMS + _CHOICE.format(value="m") + " select round(plan.v, 1) as value, round((select sum(m) from items), 1) as total, round(plan.v / (select sum(m) from items), 9) as share from chosen")
 def plan_by_marks(spark, sf_dir):
-    table = topics.topics(data.mentions(spark, sf_dir), data.hours(spark, sf_dir))
-    item = planning.items(table, "marks")
-    return planning.coverage(item, planning.knapsack(item, 12))
+    item = cut(planning.items(topics.topics(data.mentions(spark, sf_dir), data.hours(spark, sf_dir)), "marks"))
+    found = planning.coverage(item, planning.knapsack(item, 12))
+    return found.select(F.round("value", 1).alias("value"), F.round("total", 1).alias("total"), F.round("share", 9).alias("share"))
 
 
 @query()
@@ -424,6 +413,32 @@ def document_topics(spark, sf_dir):
     return docs.select("doc_id", F.array_join(F.array_sort(found), ",").alias("topics"))
 
 
+def _phrases() -> list[tuple[int, str]]:
+    """All phrases of the default vocabulary, numbered."""
+    return list(enumerate(p for t in DEFAULT.topics for p in t.phrases))
+
+
+_HELD = ", ".join(f"({k}, '{form}', '{topic}', {topic in DEFAULT.generic})" for k, (form, topic) in enumerate(extract.phrase_table(DEFAULT)))
+_ASKED_PHRASES = ", ".join(f"({k}, '{extract.canonical_text(p)}')" for k, p in _phrases())
+
+
+@query(f"""with asked as (select * from (values {_ASKED_PHRASES}) t(k, form)), held as (select * from (values {_HELD}) t(r, form, topic, generic)),
+    -- the longest phrase that a phrase holds covers the others; a topic stands at the first place of the longest of its phrases
+    named as (select a.k, h.r, h.topic, h.generic from asked a join held h on h.form = a.form qualify row_number() over (partition by a.k order by h.r) = 1),
+    hits as (select l_orderkey as q, r, {{'n': l_linenumber, 'p': l_partkey}} as at_line, topic, generic from lineitem join named on k = l_partkey % {len(_phrases())}),
+    picked as (select q, topic, generic, min({{'r': r, 'p': at_line}}).p as place from hits group by q, topic, generic),
+    told as (select *, bool_and(generic) over (partition by q) as only_generic from picked)
+    select q, string_agg(topic, ',' order by place) as topics from told where only_generic or not generic group by q""")
+def order_topics(spark, sf_dir):
+    """Topics of the default vocabulary, in order of appearance, in a sentence for each order that names a phrase a line."""
+    names = _phrases()
+    phrase = F.get(F.array(*[F.lit(p) for _, p in names]), (F.col("l_partkey") % len(names)).cast("int"))
+    lines = data.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", phrase.alias("phrase"))
+    texts = lines.groupBy(F.col("l_orderkey").alias("q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "phrase"))), lambda x: x["phrase"]), ", then ").alias("text"))
+    found = extract.specific(extract.find_topics(F.col("text"), DEFAULT), DEFAULT)
+    return texts.select("q", F.array_join(found, ",").alias("topics"))
+
+
 @query()
 def document_questions(spark, sf_dir):
     docs = data.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
@@ -436,26 +451,21 @@ def document_years(spark, sf_dir):
     return docs.select("doc_id", extract.detect_year(F.coalesce("text", F.lit("")), F.lit("")).alias("year"), extract.is_structured(F.col("text")).alias("structured"))
 
 
-def _structured(spark, sf_dir, **slices) -> DataFrame:
-    """(doc, label, text): orders written in the structured format, a text a year."""
-    m = data.mentions(spark, sf_dir, **slices)
+def _structured(spark, sf_dir) -> DataFrame:
+    """(doc, label, text): all orders written in the structured format, a text a day."""
+    m = data.mentions(spark, sf_dir, daily=True)
     rows = F.array_sort(F.collect_list(F.struct("pos", "raw")))
-    asked = m.groupBy("paper", "q", "id", "unit", "marks").agg(F.transform(rows, lambda x: x["raw"]).alias("topics"))
-    blocks = asked.select(F.col("paper").alias("doc"), F.col("q").alias("block"), "id", "unit", F.round("marks").alias("marks"), "topics")
-    papers = m.select(F.col("paper").alias("doc"), "label").distinct()
+    asked = m.groupBy("doc", "q", "id", "unit", "marks").agg(F.transform(rows, lambda x: x["raw"]).alias("topics"))
+    blocks = asked.select("doc", F.col("q").alias("block"), "id", "unit", F.round("marks").alias("marks"), "topics")
+    papers = m.select("doc", "label").distinct()
     return extract.to_structured(blocks, papers)
 
 
-_FIRST_DAYS = _mentions_sql("p_name", "dayofyear(o_orderdate) <= 7")
+_ASKED = ", asked as (select label, day, 'Q' || q as id, q, unit, round(marks) as marks, count(*) as n_topics, string_agg(raw, ',' order by pos, raw) as topics, string_agg(raw, ', ' order by pos, raw) as list from mentions group by all)"
 
 
-@query(_FIRST_DAYS + " select label, 'Q' || q as id, unit, round(marks) as marks, count(*) as n_topics, string_agg(raw, ',' order by pos, raw) as topics from mentions group by label, q, unit, marks")
+@query(_M + _ASKED + " select label, id, unit, marks, n_topics, topics from asked")
 def structured_round_trip(spark, sf_dir):
-    return _round_trip(_structured(spark, sf_dir, days=7))
-
-
-@query()
-def structured_round_trip_all(spark, sf_dir):
     return _round_trip(_structured(spark, sf_dir))
 
 
@@ -464,7 +474,8 @@ def _round_trip(texts: DataFrame) -> DataFrame:
     return parsed.questions.select("label", "id", "unit", "marks", F.size("topics").cast("long").alias("n_topics"), F.array_join("topics", ",").alias("topics"))
 
 
-@query()
+@query(_M + _ASKED + """, units as (select day, label, unit, '[Unit ' || unit || ']' || chr(10) || string_agg(id || ' (' || cast(marks as bigint) || '): ' || list, chr(10) order by q) as lines from asked group by day, label, unit)
+    select cast(day - date '1970-01-01' as int) as doc, label, '=== ' || label || ' ===' || chr(10) || string_agg(lines, chr(10) order by unit) || chr(10) as text from units group by day, label""")
 def structured_texts(spark, sf_dir):
     return _structured(spark, sf_dir)
 
@@ -484,6 +495,6 @@ def tree_shape(spark, sf_dir):
 @query()
 def analysis(spark, sf_dir):
     """Resolution, store, clusters and Prim's route of all orders in one result."""
-    raws = data.raw_mentions(spark, sf_dir, topic=WEEK["topic"])
+    raws = data.raw_mentions(spark, sf_dir, **BRANDS)
     result = from_mentions(raws.select("doc", "paper", "label").distinct(), raws, Options(threshold=1.0))
     return result.groups().select("cluster", "ord", "key", "display", "via_display", "count")
