@@ -434,7 +434,7 @@ def order_topics(spark, sf_dir):
     names = _phrases()
     phrase = F.get(F.array(*[F.lit(p) for _, p in names]), (F.col("l_partkey") % len(names)).cast("int"))
     lines = data.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", phrase.alias("phrase"))
-    texts = lines.groupBy(F.col("l_orderkey").alias("q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "phrase"))), lambda x: x["phrase"]), ", then ").alias("text"))
+    texts = lines.groupBy(F.col("l_orderkey").alias("q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "phrase"))), lambda x: x["phrase"]), ", and after that one should turn to ").alias("text"))
     found = extract.specific(extract.find_topics(F.col("text"), DEFAULT), DEFAULT)
     return texts.select("q", F.array_join(found, ",").alias("topics"))
 
