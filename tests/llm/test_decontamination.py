@@ -118,7 +118,7 @@ def test_banded_alignment():
     r = random.Random(5)
     window = sentence(r, 12)
     text = "..." + edited(r, window, 5) + "...."
-    codes = np.frombuffer(window.encode("utf-32-le"), np.uint32)[None, :]
+    codes = np.frombuffer(window.encode("utf-32-le"), np.uint32)[:, None]
     width = 24
-    padded = np.frombuffer((text + "\0" * (len(window) + width)).encode("utf-32-le"), np.uint32)[None, : len(window) + width]
-    assert dec._least_edits(codes, np.array([len(window)]), padded, np.array([0]), width)[0] == edit_distance_inside(window, text)
+    padded = np.frombuffer((text + "\0" * (len(window) + width)).encode("utf-32-le"), np.uint32)[: len(window) + width, None]
+    assert dec._least_edits(codes, np.array([len(window)]), padded, width)[0] == edit_distance_inside(window, text)

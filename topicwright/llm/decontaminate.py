@@ -157,19 +157,22 @@ class Index:
             return cls(**dict(f))
 
 
-def _least_edits(windows: np.ndarray, size: np.ndarray, texts: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
-    """Least edits of each window in its text where its place i lies at text places low + i + 0 .. width-1 (a band); texts holds those characters from low on."""
-    n, cells = len(windows), np.arange(width, dtype=np.int32)
-    row = np.zeros((n, width), np.int32)  # an alignment may begin anywhere in the band
+def _least_edits(windows: np.ndarray, size: np.ndarray, texts: np.ndarray, width: int) -> np.ndarray:
+    """Least edits of each window in its text where its place i lies at text places i + 0 .. width-1 (a band); a column of windows and texts holds the characters of each."""
+    n, cells = windows.shape[1], np.arange(width, dtype=np.int16)[:, None]
+    row = np.zeros((width, n), np.int16)  # an alignment may begin anywhere in the band
+    down = np.full((width, n), 1 << 14, np.int16)
+    steps = [1 << k for k in range((width - 1).bit_length())]
     best = np.zeros(n, np.int64)
     for i in range(int(size.max())):
-        away = texts[:, i : i + width] != windows[:, i : i + 1]
-        down = np.concatenate([row[:, 1:], np.full((n, 1), 1 << 20, np.int32)], axis=1) + 1  # a window character without a partner
-        here = np.minimum(row + away, down)
-        row = np.minimum.accumulate(here - cells, axis=1) + cells  # text characters without a partner
+        np.add(row[1:], 1, out=down[:-1])  # a window character without a partner
+        row = np.minimum(row + (texts[i : i + width] != windows[i]), down) - cells
+        for step in steps:  # text characters without a partner: the least so far, over twice as many cells each time
+            row[step:] = np.minimum(row[step:], row[:-step])
+        row += cells
         ended = size == i + 1
         if ended.any():
-            best[ended] = row[ended].min(axis=1)
+            best[ended] = row[:, ended].min(axis=0)
     return best
 
 
@@ -257,8 +260,8 @@ def regions(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
         size = index.size[window[some]]
         wide = int(size.max())
         last = len(index.codes) - 1
-        chars = padded[np.clip((low[some] + lead)[:, None] + np.arange(wide + width), 0, len(padded) - 1)]
-        edits[some] = _least_edits(index.codes[np.minimum(index.start[window[some]][:, None] + np.arange(wide), last)], size, chars, low[some], width)
+        chars = padded[np.clip((low[some] + lead) + np.arange(wide + width)[:, None], 0, len(padded) - 1)]
+        edits[some] = _least_edits(index.codes[np.minimum(index.start[window[some]] + np.arange(wide)[:, None], last)], size, chars, width)
     good = edits <= index.edits[window]
     return text[good], window[good], (low - starts[text])[good], edits[good]
 
