@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, ragged
+from .common import bounded_batches, by_bytes, materialise, ragged
 from .tokens import SLICE_BYTES, Encoder
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -55,6 +55,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
