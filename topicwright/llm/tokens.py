@@ -23,7 +23,7 @@ from .common import ragged
 from .shingles import span_hashes
 
 #: Segments kept with their ids by a worker before it starts anew; about 30 bytes each.
-MEMO = 500_000
+MEMO = 800_000
 #: Text bytes that one call handles at most (one longer text is a call of its own).
 SLICE_BYTES = 1 << 20
 
