@@ -261,19 +261,21 @@ class Rules:
 
 def _first(b: Block, rules: Rules, marked: bool) -> str:
     """Label of a block by itself: good, bad, near (near the border) or short; marked: the page marks an article."""
+    size, linked = len(b.text), b.link_chars > rules.links * len(b.text)
+    if b.article > 0 and (linked or size < rules.short or size > rules.long):
+        return "good" if size > rules.long and not linked else "short"
+    if b.article < 0 or b.article == 0 and (linked or re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I)):
+        return "bad"
+    if b.article == 0 and not marked and size < rules.short:
+        return "bad" if b.link_chars else "short"
     words = _WORDS.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    linked = b.link_chars > rules.links * len(b.text)
     if b.article > 0:
-        return "short" if linked or len(b.text) < rules.short or len(b.text) <= rules.long and stops < rules.stops_low else "good"
-    if b.article < 0 or linked or re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
-        return "bad"
+        return "good" if stops >= rules.stops_low else "short"
     if marked:
-        return "near" if len(b.text) > rules.long and stops >= rules.stops_high else "bad"
-    if len(b.text) < rules.short:
-        return "bad" if b.link_chars else "short"
+        return "near" if size > rules.long and stops >= rules.stops_high else "bad"
     if stops >= rules.stops_high:
-        return "good" if len(b.text) > rules.long else "near"
+        return "good" if size > rules.long else "near"
     return "near" if stops >= rules.stops_low else "bad"
 
 
