@@ -25,10 +25,11 @@ Pairs whose bits differ in more places than the sets may are dropped, and what
 is left is verified on the whole sets.
 
 Components. First each bucket's sets are tested against one of them (all pairs
-in small ones; STARS buckets a set where it lacks slack); then, exactly, all
-pairs of a bucket whose sets are not yet joined. So a large group of near copies
-costs a few tests a member, and no link between two groups is lost. Equal sets
-are one class from the start.
+in small ones; STARS buckets a set where it lacks slack), then those not yet
+joined against SLOTS sets of each bucket, where they lack slack; then, exactly,
+all pairs of a bucket whose sets are still not joined. So a large group of near
+copies costs a few tests a member, and no link between two groups is lost. Equal
+sets are one class from the start.
 
 Scale: token sets never leave their task but for classes in candidate pairs;
 nothing of the corpus goes to the driver.
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,8 @@ FREQUENT = 32
 SMALL = 4
 #: Buckets in which the first pass tests a set that lacks slack.
 STARS = 12
+#: Sets of a bucket that the second pass compares with all others there, where they lack slack.
+SLOTS = 16
 #: Ratio of the size classes of sets that lack slack.
 CLASS = 1.05
 #: Bits that a join of sets that lack slack compares before it makes a pair.
@@ -352,28 +356,40 @@ def _classified(df: DataFrame, percent: int, id_col: str, text_col: str) -> Data
     def live(members: DataFrame) -> DataFrame:
         return members.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("b")
 
-    now = materialise(labelled(buckets), "joined")
-    left = materialise(now.join(live(now), "b", "left_semi"), "live")
-    rest = left.select("b", F.col("v").alias("u"), F.col("c").alias("cu")).join(left, "b").filter("u < v and cu <> c").select("u", "v")
-    done = [now, left]
-    if rarest:
+    def crossing(slots: int | None = None) -> DataFrame:
+        """Pairs (u, v) of sets that lack slack, of different components, near by their bits: all, or those with one set of each slot of a bucket."""
         index, probe, fold = rarest
         held, asked = materialise(labelled(index), "joined"), materialise(labelled(probe), "joined")
         alive = materialise(live(held.union(asked)), "live")
-        own = held.join(alive, "b", "left_semi").select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
-        own = own.join(fold.select(F.col("v").alias("u"), F.col("bits").alias("x")), "u")
+        own = held.join(alive, "b", "left_semi")
+        if slots:
+            slot = F.pmod(F.xxhash64("v", "b"), F.lit(slots)).alias("slot")
+            own = own.groupBy("b", slot).agg(F.min_by(F.struct("v", "n", "c"), F.xxhash64("b", "v")).alias("one")).select("b", "one.*")
+        own = own.select("b", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu")).join(fold.select(F.col("v").alias("u"), F.col("bits").alias("x")), "u")
         other = asked.join(alive, "b", "left_semi").join(fold, "v")
         apart = F.aggregate(F.zip_with("x", "bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         may = F.lit(100 - percent) * (F.col("nu") + F.col("n")) >= F.lit(100 + percent) * apart
-        crossed = own.join(other, "b").filter("cu <> c and struct(nu, u) < struct(n, v)").filter(may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        rest = rest.union(crossed)
-        done += [index, probe, held, asked, alive]
-    rest = materialise(rest.distinct().join(tested, ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        before, links = links, materialise(links.union(_verify(rest, vertex, docs, bands)), "links")
-        discard(before, label)
+        pairs = own.join(other, "b").filter("cu <> c and struct(nu, u) < struct(n, v)").filter(may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = materialise(pairs.distinct(), "crossing")
+        discard(held, asked, alive)
+        return pairs
+
+    now = materialise(labelled(buckets), "joined")
+    left = materialise(now.join(live(now), "b", "left_semi"), "live")
+    rest = left.select("b", F.col("v").alias("u"), F.col("c").alias("cu")).join(left, "b").filter("u < v and cu <> c").select("u", "v")
+    drawn = [crossing(SLOTS)] if rarest else []
+    steps = [lambda: reduce(DataFrame.union, drawn, rest)]
+    if rarest:  # then, exactly, what these have not joined
+        steps.append(crossing)
+    for step in steps:
+        more = materialise(step().distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+        if more.isEmpty():
+            continue
+        before, links = links, materialise(links.union(_verify(more, vertex, docs, bands)), "links")
+        before_tested, tested = tested, materialise(tested.union(more), "pairs")
+        discard(before, before_tested, more)
         label = components(links)
-    discard(*done, rest, tested, buckets, poor, links)
+    discard(*drawn, now, left, tested, buckets, poor, links, *(rarest or ()))
 
     # from vertices to classes of slices to rows
     least = rows.filter("n > 0").groupBy(F.col("own").alias("m")).agg(F.min("id").alias("least"))
