@@ -7,7 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 from weakref import WeakKeyDictionary
 
@@ -198,6 +198,25 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set(name, size)
 
 
+#: What operators keep in a worker between tasks: by operator, how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_now: list[str] = [""]
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    _KEPT[operator] = drop
+
+
+def begin(operator: str) -> None:
+    """At the start of a task: a worker that goes from one operator to another drops what the others kept."""
+    if _now[0] != operator:
+        _now[0] = operator
+        for other, drop in _KEPT.items():
+            if other != operator:
+                drop()
+        give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker lives on, and its peaks would stay with it."""
     pa.default_memory_pool().release_unused()

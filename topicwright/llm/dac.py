@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, bounded_batches, by_bytes, new_folder, shuffle_parts
+from .common import SharedFiles, begin, bounded_batches, by_bytes, new_folder, shuffle_parts
 from .packing import with_end
 from .tokens import SLICE_BYTES, Encoder
 
@@ -207,6 +207,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     bounded_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encoder, files, part = Encoder.of(tokenizer), SharedFiles(folder), TaskContext.get().partitionId()
         writer = Writer(files, part)
         for batch in batches:

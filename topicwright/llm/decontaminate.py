@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, bounded_batches, by_bytes, new_folder, ragged
+from .common import SharedFiles, begin, bounded_batches, by_bytes, keeps, new_folder, ragged
 
 Q = 8
 WINDOW = 128
@@ -271,6 +271,9 @@ def _loaded(folder: str, name: str) -> Index:
     return Index.load(SharedFiles(folder).read(name))
 
 
+keeps("decontaminate", _loaded.cache_clear)
+
+
 def write_index(benchmark: DataFrame, rate: float, item_col: str = "item_id", text_col: str = "text") -> tuple[str, list[str]]:
     """Writes the index in blocks of about BLOCK_CHARS characters to the shared folder; returns it and the names of their files."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
@@ -295,20 +298,21 @@ def _scan(rows: DataFrame, benchmark: DataFrame, rate: float, column: str, schem
     folder, names = write_index(benchmark, rate)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontaminate")
         for batch in batches:
             items: list[set[int]] = [set() for _ in range(len(batch))]
             windows: list[set[tuple[str, int]]] = [set() for _ in range(len(batch))]
             fewest: list[int | None] = [None] * len(batch)
             for name in names:
-                index, begin = _loaded(folder, name), 0
+                index, before = _loaded(folder, name), 0
                 for some in by_bytes(batch, column, SLICE_BYTES):
                     text, window, _, edits = regions(index, [normal(t) for t in some.column(column).to_pylist()])
                     which = np.searchsorted(index.own, window, "right") - 1
-                    for t, w, i, e in zip((text + begin).tolist(), window.tolist(), index.items[which].tolist(), edits.tolist(), strict=True):
+                    for t, w, i, e in zip((text + before).tolist(), window.tolist(), index.items[which].tolist(), edits.tolist(), strict=True):
                         items[t].add(i)
                         windows[t].add((name, w))
                         fewest[t] = e if fewest[t] is None else min(e, fewest[t])
-                    begin += len(some)
+                    before += len(some)
             yield give(batch, items, windows, fewest)
 
     return rows.mapInArrow(scan, schema)

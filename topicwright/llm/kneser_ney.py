@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, bounded_batches, by_bytes, discard, located, materialise, new_folder
+from .common import SharedFiles, begin, bounded_batches, by_bytes, discard, keeps, located, materialise, new_folder
 
 ORDER = 4
 #: N-grams that a task keeps before it gives them out.
@@ -108,6 +108,7 @@ def group_grams(docs: DataFrame, sample: np.ndarray) -> DataFrame:
     """(group, lang, g, n) of rows with group, id, lang and text: the distinct n-grams of each group and their counts in its training rows; a group read in several tasks comes in parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("kneser_ney")
         kept: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
 
         def give() -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,14 @@ def _rejected(folder: str, group: int) -> np.ndarray:
     return np.frombuffer(SharedFiles(folder).read(f"{group}.bin"), "<i8")
 
 
+def _forget() -> None:
+    _scores_of.cache_clear()
+    _rejected.cache_clear()
+
+
+keeps("kneser_ney", _forget)
+
+
 class Model:
     """A trained model of a table: verdicts on its rows, and the rows that stay."""
 
@@ -255,6 +264,7 @@ class Model:
         discard(grams, scores)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("kneser_ney")
             for batch in batches:
                 for some in by_bytes(batch, "text", SLICE_BYTES):
                     trained = pa.array(_is_in(some.column("id"), sample))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, materialise, ragged
+from .common import begin, bounded_batches, by_bytes, materialise, ragged
 from .tokens import SLICE_BYTES, Encoder
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -42,6 +42,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
     """(id, piece, start, length, ids_crc32) of every piece of at most `capacity` ids; only longer documents are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, discard, join_hot, materialise, ragged, shuffle_parts
+from .common import begin, bounded_batches, by_bytes, discard, join_hot, materialise, ragged, shuffle_parts
 from .components import components
 from .shingles import SLICE_BYTES, mix, shingle_sets
 
@@ -165,6 +165,7 @@ def _sketch(bands: Bands, parts: int):
     """Text rows to rows of kind 0 (a text: id, n, class, the gid of the first of its class in the slice, which also has bits and slacks) and 1 (packed blocks for a part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("parity_join")
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for some in by_bytes(batch, "text", SLICE_BYTES, SLICE_TEXTS):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes
+from .common import begin, bounded_batches, by_bytes
 from .tokens import SLICE_BYTES, Encoder
 
 
@@ -28,6 +28,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_i
     """(id_col, n_bytes, n_tokens, over_limit) of each row; tokenizer: path of a .json (tokenizers) or .model (sentencepiece) file on every machine."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):

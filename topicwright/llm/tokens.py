@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import keeps, ragged
 from .shingles import span_hashes
 
 #: Segments kept with their ids by a worker before it starts anew; about 30 bytes each.
@@ -179,3 +179,6 @@ class Encoder:
         entry = self.memo.find(keys)
         starts = self.memo.starts[entry]
         return starts, self.memo.starts[entry + 1] - starts
+
+
+keeps("tokens", Encoder._made.clear)
