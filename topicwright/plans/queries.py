@@ -304,16 +304,32 @@ def graph_bfs(spark, sf_dir):
     return graph.breadth_first(table, edge, _start(table, edge))
 
 
-@query()
+@query(_BRANDS + _EDGES + _ADJ + """, near as (select u, list(v order by v) as vs from (select distinct u, v from adj) group by u),
+    walk as (
+      select 1 as step, [key] as seen, [key] as stack from start
+      union all select step + 1, case when next is null then seen else list_append(seen, next) end, case when next is null then stack[:-2] else list_append(stack, next) end
+      from (select walk.*, list_filter(vs, lambda x: not list_contains(seen, x))[1] as next from walk join near on u = stack[-1])),
+    last as (select seen from walk order by step desc limit 1)
+    select cast(unnest(range(1, len(seen) + 1)) as int) as ord, unnest(seen) as key from last""")
 def graph_dfs(spark, sf_dir):
     table, edge = _graph(spark, sf_dir)
     return graph.depth_first(table, edge, _start(table, edge))
 
 
-@query()
+@query(_BRANDS + _EDGES + _REACH + """, c as (select a as key, min(b) as component from reach group by a),
+    f as (select key, count(*) as frequency from mentions group by key),
+    starts as (select component, min({'f': -frequency, 'k': key}) as best from c join f using (key) group by component),
+    ranked as (select component, best.k as start, cast(row_number() over (order by best) as int) as cluster from starts),
+    lines as (select cluster, x.u, x.v, count from (select u, v, count from edges union all select v, u, count from edges) x join c on c.key = x.u join ranked using (component)),
+    walk as (
+      select cluster, 1 as ord, start as key, cast(null as varchar) as via, cast(null as bigint) as count, cast(0 as double) as total, [start] as seen from ranked
+      union all select cluster, ord + 1, e.v, seen[e.p], -e.c, total + 1.0::double / -e.c, list_append(seen, e.v) from (
+        select walk.cluster, ord, total, seen, min({'c': -lines.count, 'v': lines.v, 'p': list_position(seen, lines.u)}) as e
+        from walk join lines on lines.cluster = walk.cluster and list_contains(seen, lines.u) and not list_contains(seen, lines.v) group by all))
+    select cluster, ord, key, via, count, round(total, 9) as total from walk""")
 def graph_prim(spark, sf_dir):
     table, edge = _graph(spark, sf_dir)
-    return graph.prim(graph.clusters(table, edge), edge)
+    return graph.prim(graph.clusters(table, edge), edge).withColumn("total", F.round("total", 9))
 
 
 @query(_BRANDS + _EDGES + _DISTANCES + " select key, round(dist, 9) as dist, array_to_string(path, ' > ') as path from best")
@@ -385,7 +401,27 @@ def paper_overlap(spark, sf_dir):
 
 # resolution
 
-@query()
+#: Tables letters and scored (a, b, score) of pairs (a, b): the subsequence's length by a bit for each letter of a that is still free.
+_SCORED = """, letters as (select a, substr(a, cast(i as int), 1) as letter, sum(cast(1 as hugeint) << cast(i - 1 as int)) as bits from (select a, unnest(range(1, length(a) + 1)) as i from (select distinct a from pairs)) group by all),
+    steps as (
+      select a, b, 0 as i, (cast(1 as hugeint) << length(a)) - 1 as free from pairs
+      union all select a, b, i + 1, ((free + hit) | (free - hit)) & ((cast(1 as hugeint) << length(a)) - 1) from (
+        select s.a, s.b, s.i, s.free, s.free & coalesce(l.bits, 0) as hit from steps s left join letters l on l.a = s.a and l.letter = substr(s.b, s.i + 1, 1) where s.i < length(s.b))),
+    scored as (select a, b, (length(a) - bit_count(free)) / greatest(length(a), length(b)) as score from steps where i = length(b))"""
+_DROPPED = "case when q % 3 = 0 then substr(raw, 1, 2) || substr(raw, 4, 100) else raw end"
+
+
+@query(_RECURSIVE + f""", spelled as (select {_DROPPED} as raw, min({{'p': paper, 'q': q, 'i': pos}}) as at_line from raws group by 1),
+    named as (select {_canonical_sql("raw")} as form, min(at_line) as at_line from spelled group by 1),
+    forms as (select form, cast(row_number() over (order by at_line, form) as int) as ord from named where form <> ''),
+    pairs as (select x.form as a, y.form as b from forms x join forms y on x.ord < y.ord)""" + _SCORED + """,
+    near as (select f.form, f.ord, list(s.a order by s.score desc, g.ord) filter (where s.score >= 0.8) as before, list(s.score order by s.score desc, g.ord) filter (where s.score >= 0.8) as scores
+      from forms f left join scored s on s.b = f.form left join forms g on g.form = s.a group by all),
+    walk as (
+      select 0 as ord, cast([] as varchar[]) as leaders, cast(null as varchar) as form, cast(null as varchar) as key, cast(null as double) as score
+      union all select ord, case when one is null then list_append(leaders, form) else leaders end, form, coalesce(before[one], form), scores[one] from (
+        select n.ord, leaders, n.form, before, scores, list_filter(range(1, len(before) + 1), lambda i: list_contains(leaders, before[i]))[1] as one from walk w join near n on n.ord = w.ord + 1))
+    select form, ord, key, score from walk where ord > 0""")
 def resolved_names(spark, sf_dir):
     """Names of parts with a letter dropped here and there, resolved to their first spellings."""
     dropped = F.when(F.col("q") % 3 == 0, F.concat(F.substring("raw", 1, 2), F.substring("raw", 4, 100))).otherwise(F.col("raw"))
@@ -394,7 +430,7 @@ def resolved_names(spark, sf_dir):
     return found.forms.select("form", "ord", "key", "score")
 
 
-@query()
+@query(f"with recursive forms as (select distinct {_canonical_sql("p_name || ' ' || p_type")} as form from part), pairs as (select x.form as a, y.form as b from forms x join forms y on x.form < y.form)" + _SCORED + " select a, b, score from scored where score >= 0.75")
 def similar_names(spark, sf_dir):
     forms = data.table(spark, sf_dir, "part").select(canonical(F.concat_ws(" ", "p_name", "p_type")).alias("form"))
     return resolve.similar_pairs(forms, 0.75)
