@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
-from ..functions.text import canonical, label_order
+from ..functions.text import SPACE, canonical, label_order
 from ..operators import diagnostics, extract, graph, parse, planning, resolve, topics
 from ..sources.vocabulary import DEFAULT, Vocabulary, read_table
 from . import bench_adapter as data
@@ -316,7 +317,7 @@ def graph_dfs(spark, sf_dir):
     return graph.depth_first(table, edge, _start(table, edge))
 
 
-@query(_BRANDS + _EDGES + _REACH + """, c as (select a as key, min(b) as component from reach group by a),
+_PRIM = _REACH + """, c as (select a as key, min(b) as component from reach group by a),
     f as (select key, count(*) as frequency from mentions group by key),
     starts as (select component, min({'f': -frequency, 'k': key}) as best from c join f using (key) group by component),
     ranked as (select component, best.k as start, cast(row_number() over (order by best) as int) as cluster from starts),
@@ -325,8 +326,10 @@ def graph_dfs(spark, sf_dir):
       select cluster, 1 as ord, start as key, cast(null as varchar) as via, cast(null as bigint) as count, cast(0 as double) as total, [start] as seen from ranked
       union all select cluster, ord + 1, e.v, seen[e.p], -e.c, total + 1.0::double / -e.c, list_append(seen, e.v) from (
         select walk.cluster, ord, total, seen, min({'c': -lines.count, 'v': lines.v, 'p': list_position(seen, lines.u)}) as e
-        from walk join lines on lines.cluster = walk.cluster and list_contains(seen, lines.u) and not list_contains(seen, lines.v) group by all))
-    select cluster, ord, key, via, count, round(total, 9) as total from walk""")
+        from walk join lines on lines.cluster = walk.cluster and list_contains(seen, lines.u) and not list_contains(seen, lines.v) group by all))"""
+
+
+@query(_BRANDS + _EDGES + _PRIM + " select cluster, ord, key, via, count, round(total, 9) as total from walk")
 def graph_prim(spark, sf_dir):
     table, edge = _graph(spark, sf_dir)
     return graph.prim(graph.clusters(table, edge), edge).withColumn("total", F.round("total", 9))
@@ -475,10 +478,41 @@ def order_topics(spark, sf_dir):
     return texts.select("q", F.array_join(found, ",").alias("topics"))
 
 
-@query()
+def _questions_sql() -> str:
+    """Blocks of lines, and in each the words' phrases: longest first, and blanked (twice, as neighbours share a space) before the next is looked for."""
+    phrases = extract.phrase_table(WORDS)
+    texts = [f"(select *, ' ' || {_canonical_sql('text')} || ' ' as t0 from blocks)"]
+    for k, (form, _) in enumerate(phrases):
+        blank = "replace({}, ' " + form + " ', ' |" + " " * (len(form) - 1) + "| ')"
+        texts.append(f"(select *, instr(t{k}, ' {form} ') as p{k}, {blank.format(blank.format(f't{k}'))} as t{k + 1} from {texts[-1]})")
+    places = ", ".join("{'p': coalesce(" + ", ".join(f"nullif(p{k}, 0)" for k, (_, name) in enumerate(phrases) if name == t.name) + f"), 't': '{t.name}', 'u': {t.unit}}}" for t in WORDS.topics)
+    blank, word = "[" + re.sub(r"\\u(\w{4})", r"\\x{\1}", SPACE) + "]", "([^A-Za-z0-9_]|$)"
+    unit = rf"(?i)^unit ?[-–:.]? ?(\d|i{{1,3}}|iv|v){word}"
+    start = r"(?i)^(?:q(?:ues(?:tion)?)? ?\.? ?(\d{1,2}) ?[.):-]?|(\d{1,2}) ?[.)]|\( ?([a-j]|[ivx]{1,4}) ?\)|([a-j]) ?[.)]) "
+    marks = rf"(?i)[(\[]? ?(\d{{1,2}}) ?marks?{word}|\[ ?(\d{{1,2}}) ?\] ?$"
+    return rf"""
+    with split as (select doc_id as doc, regexp_split_to_array(coalesce(text, ''), '\r?\n') as l from documents),
+    cut as (select doc, unnest(range(1, len(l) + 1)) as line_no, trim(regexp_replace(unnest(l), '{blank}+', ' ', 'g')) as line from split),
+    marked as (select *, regexp_matches(line, '{unit}') as is_unit, lower(regexp_extract(line, '{unit}', 1)) as named, regexp_matches(line, '{start}') as starts,
+      nullif(regexp_extract(line, '{start}', 1) || regexp_extract(line, '{start}', 2), '') as number, lower(regexp_extract(line, '{start}', 3) || regexp_extract(line, '{start}', 4)) as part from cut where line <> ''),
+    state as (select *, sum(starts::int) over upto as block, last_value(case when is_unit then coalesce(nullif(list_position(['i', 'ii', 'iii', 'iv', 'v'], named), 0), try_cast(named as int), 0) end ignore nulls) over upto as unit_here,
+      last_value(number ignore nulls) over upto as last_number, sum(starts::int) over (partition by doc) as n, row_number() over (partition by doc order by line_no) as line_at
+      from marked window upto as (partition by doc order by line_no rows unbounded preceding)),
+    blocks as (
+      select doc, cast(block as bigint) as block, arg_min('Q' || coalesce(last_number, cast(block as varchar)) || part, line_no) as id, arg_min(coalesce(unit_here, 0), line_no) as unit,
+        string_agg(case when starts then regexp_replace(line, '{start}', '') else line end, ' ' order by line_no) as text
+      from state where n > 0 and block > 0 and (starts or not is_unit) group by doc, block
+      union all select doc, line_at, 'Q' || line_at, 0, line from state where n = 0),
+    found as (select *, list_sort(list_filter([{places}], lambda x: x.p is not null)) as hits from {texts[-1]}),
+    named as (select *, case when len(list_filter(hits, lambda x: x.t <> 'And')) > 0 then list_filter(hits, lambda x: x.t <> 'And') else hits end as told from found)
+    select doc, block, id, cast(coalesce(nullif(unit, 0), told[1].u, 0) as int) as unit, try_cast(nullif(regexp_extract(text, '{marks}', 1) || regexp_extract(text, '{marks}', 3), '') as double) as marks,
+      array_to_string(list_transform(told, lambda x: x.t), ',') as topics from named"""
+
+
+@query(_questions_sql())
 def document_questions(spark, sf_dir):
     docs = data.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return extract.extract_questions(docs, WORDS)
+    return extract.extract_questions(docs, WORDS).withColumn("topics", F.array_join("topics", ","))
 
 
 @query(r"select doc_id, try_cast(nullif(regexp_extract(substr(coalesce(text, ''), 1, 3000), '\b((?:19|20)\d{2})\b', 1), '') as int) as year, coalesce(regexp_matches(text, '(?m)^\s*(?:={2,}.+={2,}|@paper\b)'), false) as structured from documents")
@@ -528,7 +562,9 @@ def tree_shape(spark, sf_dir):
     return diagnostics.tree_shape(diagnostics.lookups(data.mentions(spark, sf_dir)))
 
 
-@query()
+@query(_BRANDS + _EDGES + _PRIM + """, spelled as (select key, arg_min(raw, {'n': -n, 'r': raw}) as display from (select key, raw, count(*) as n from mentions group by all) group by key),
+    large as (select cluster from walk group by cluster having count(*) > 1)
+    select cluster, ord, key, x.display, y.display as via_display, count from walk join large using (cluster) join spelled x using (key) left join spelled y on y.key = via""")
 def analysis(spark, sf_dir):
     """Resolution, store, clusters and Prim's route of all orders in one result."""
     raws = data.raw_mentions(spark, sf_dir, **BRANDS)
