@@ -217,6 +217,27 @@ def test_graph(spark):
     assert graph.edges(mentions.withColumn("unit", F.lit(1)), "unit").count() == 15
 
 
+def test_components_of_ranges(spark):
+    """Links dealt over several tasks, which disagree on the roots of keys; sets and their edges give the same."""
+    import random
+
+    r = random.Random(7)
+    groups = [sorted({f"k{r.randrange(300):03}" for _ in range(r.randrange(1, 5))}) for _ in range(140)]
+    root = {k: k for g in groups for k in g}
+    for g in groups:
+        low = min(root[k] for k in g)
+        old = {root[k] for k in g}
+        root = {k: low if x in old else x for k, x in root.items()}
+    sets = spark.createDataFrame([(g,) for g in groups], "keys array<string>")
+    edge = spark.createDataFrame([p for g in groups for p in itertools.combinations(g, 2)], "u string, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in (sets, edge):
+            assert {x.key: x.component for x in graph.components(graph.frequencies(sets), rows).collect()} == root
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_forest_is_kruskals(spark):
     import random
 

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from topicwright.functions.sequences import common_length, longest_common
-from topicwright.operators import diagnostics, extract
+from topicwright.operators import diagnostics, extract, graph
 from topicwright.plans import bench_adapter
 
 QUERIES = importlib.import_module("__spark_entry__").queries()
@@ -131,3 +131,14 @@ def test_resolved_names(spark):
         best = max((x for x in near if x[0] >= 0.8), default=None)
         key[form] = best[2] if best else form
     assert {r.form: r.key for r in QUERIES["resolved_names"](spark, SF).collect()} == key
+
+
+@pytest.mark.parametrize("name", ["graph_components"])
+def test_without_edges(spark, monkeypatch, name):
+    """These need no table of all edges, which is far larger than the orders."""
+
+    def made(*_):
+        raise AssertionError("edges of all orders")
+
+    monkeypatch.setattr(graph, "edges", made)
+    assert QUERIES[name](spark, SF).count()
