@@ -133,7 +133,7 @@ def test_resolved_names(spark):
     assert {r.form: r.key for r in QUERIES["resolved_names"](spark, SF).collect()} == key
 
 
-@pytest.mark.parametrize("name", ["graph_components", "graph_clusters", "graph_solo", "graph_dfs"])
+@pytest.mark.parametrize("name", ["graph_components", "graph_clusters", "graph_solo", "graph_dfs", "graph_prim"])
 def test_without_edges(spark, monkeypatch, name):
     """These need no table of all edges, which is far larger than the orders."""
 
