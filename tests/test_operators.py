@@ -238,6 +238,17 @@ def test_components_of_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_resolving_by_equal_forms(spark):
+    """At a threshold of 1 the same keys as by the rounds, without a table of all forms."""
+    rows = [(0, 1, q, p, raw) for q in range(4) for p, raw in enumerate(["AVL-Trees", "avl tree", "the", "Heap %d" % (q % 2)])]
+    mentions = spark.createDataFrame(rows, "doc int, paper int, q int, pos int, raw string")
+    found, slow = resolve.resolve(mentions, threshold=1.0), resolve.resolve(mentions, hours=spark.createDataFrame([], "topic string, hours double, place struct<doc:int,line:int>"), threshold=1.0)
+    for name in ("mentions", "forms", "merges", "comparisons"):
+        a, b = getattr(found, name), getattr(slow, name)
+        assert sorted(a.select(*b.columns).collect(), key=str) == sorted(b.collect(), key=str), name
+    assert "_forms" in vars(found) and callable(found._forms)
+
+
 def test_forest_is_kruskals(spark):
     import random
 
