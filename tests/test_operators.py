@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from topicwright.functions.sequences import lcs, lcs_length, lcs_size, longest_common, similarity, string_similarity
+from topicwright.functions.sequences import common_size, lcs, lcs_length, lcs_size, longest_common, similarity, string_similarity
 from topicwright.functions.text import canonical, label_order
 from topicwright.operators import diagnostics, extract, graph, parse, planning, resolve, topics
 from topicwright.operators.planning import knapsack_of
@@ -238,6 +238,23 @@ def test_components_of_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_common_size_in_stripes():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m, k in ((0, 5, 3), (40, 70, 3), (130, 90, 400), (200, 200, 8)):
+        x, y = r.integers(0, k, n), r.integers(0, k, m)
+        for width in (1, 7, 64, 1000):
+            assert common_size(x, y, width) == longest_common(x.tolist(), y.tolist())[0]
+
+
+def test_sequences_are_numbers(spark):
+    """No task gets a row with all keys of a label."""
+    rows = spark.range(400_000).selectExpr("0 doc", "cast(id % 2 as int) paper", "cast(id % 2 as string) label", "id q", "1 pos", "concat('k', id % 5) key")
+    pieces = planning.paper_sequences(rows).selectExpr("label", "length(codes) / 4 as n").collect()
+    assert len(pieces) >= 4 and sum(x.n for x in pieces) == 400_000 and max(x.n for x in pieces) < 80_000
+
+
 def test_resolving_by_equal_forms(spark):
     """At a threshold of 1 the same keys as by the rounds, without a table of all forms."""
     rows = [(0, 1, q, p, raw) for q in range(4) for p, raw in enumerate(["AVL-Trees", "avl tree", "the", "Heap %d" % (q % 2)])]
