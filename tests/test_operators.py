@@ -248,6 +248,52 @@ def test_common_size_in_stripes():
             assert common_size(x, y, width) == longest_common(x.tolist(), y.tolist())[0]
 
 
+def test_common_size_takes_one_addition(monkeypatch):
+    """Faster than the plain formula, which has two additions and a subtraction for a number of y."""
+    import time
+
+    import numpy as np
+
+    from topicwright.functions import sequences
+
+    def slow(x, y):
+        places, n = {}, len(x)
+        for k, v in enumerate(x.tolist()):
+            places[v] = places.get(v, 0) | 1 << k
+        full = state = (1 << n) - 1
+        carry = bytearray(len(y))
+        begin = time.process_time()
+        for j, v in enumerate(y.tolist()):
+            hit = state & places.get(v, 0)
+            if hit or carry[j]:
+                total = state + hit + carry[j]
+                carry[j] = total >> n
+                state = (total | state - hit) & full
+        return n - state.bit_count(), time.process_time() - begin
+
+    def fast(x, y):
+        begin = time.process_time()
+        return common_size(x, y), time.process_time() - begin
+
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 64, 1 << 16), r.integers(0, 64, 20_000)
+    runs = [(slow(x, y), fast(x, y)) for _ in range(3)]
+    assert len({n for run in runs for n, _ in run}) == 1
+    assert min(run[1][1] for run in runs) < 0.75 * min(run[0][1] for run in runs)
+    x, y = r.permutation(300), r.permutation(200)
+    for most in (1, 100, 5000):  # stripes as narrow as the vectors must be
+        monkeypatch.setattr(sequences, "VECTORS", most)
+        assert common_size(x, y) == longest_common(x.tolist(), y.tolist())[0]
+
+
+def test_pairs_of_papers_have_a_task_each(spark):
+    labels = spark.range(8).selectExpr("concat('p', id) label", "if(id < 7, cast(id as int) + 1, null) some")
+    pairs = labels.selectExpr("label a", "some some_a").join(labels.selectExpr("label b", "some some_b"), F.col("a") <= F.col("b"))
+    pieces = spark.range(14).selectExpr("concat('p', id % 7) label", "0 part", "cast(id as int) piece", "array('k') names", "cast('' as binary) codes")
+    rows = planning.full_pairs(pairs, pieces).select("a", "b", "piece", F.spark_partition_id().alias("at")).collect()
+    assert len(rows) == 21 * 4 and len({(x.a, x.b) for x in rows}) == len({x.at for x in rows}) == len({(x.a, x.b, x.at) for x in rows}) == 21
+
+
 def test_sequences_are_numbers(spark):
     """No task gets a row with all keys of a label."""
     rows = spark.range(400_000).selectExpr("0 doc", "cast(id % 2 as int) paper", "cast(id % 2 as string) label", "id q", "1 pos", "concat('k', id % 5) key")

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from topicwright.functions.sequences import common_length, longest_common
-from topicwright.operators import diagnostics, extract, graph
+from topicwright.operators import diagnostics, extract, graph, planning
 from topicwright.plans import bench_adapter
 
 QUERIES = importlib.import_module("__spark_entry__").queries()
@@ -118,6 +118,16 @@ def test_paper_overlap(spark):
             assert abs(r.similarity - n / max(len(keys[r.a_label]), len(keys[r.b_label]))) < 1e-12
 
 
+def test_papers_without_grouping(spark, monkeypatch):
+    """The list of papers is the mentions' own, without grouping all lines by order and key again."""
+    given = []
+    monkeypatch.setattr(planning, "paper_similarity", lambda *tables: given.append(tables) or tables[0])
+    QUERIES["paper_overlap"](spark, SF)
+    papers, mentions = given[0]
+    assert sorted(papers.collect()) == sorted(mentions.select("doc", "paper", "label").distinct().collect())
+    assert papers._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_resolved_names(spark):
     """All lines, one by one: a form joins the most similar leader before it."""
     rows = bench_adapter.raw_mentions(spark, SF).orderBy("paper", "q", "pos").collect()
